@@ -26,6 +26,8 @@ class AlsParams:
 
 TOP_DRUGS = 5
 TRAINING_PERCENT = 80
+MAX_DRUG_BLOCKS = 1_000
+MAX_BLOCK_PAIRS = 100_000
 
 
 def label_index(pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
@@ -76,11 +78,19 @@ def drop_cold_start(test: DataFrame, training: DataFrame) -> DataFrame:
     return known.select(*test.columns)
 
 
-def train_als(training: DataFrame, params: AlsParams = AlsParams(), blocks: int | None = None) -> ALSModel:
-    """Matrix factorization of ``(drug_idx, target_idx, NormalizedScore)``.
+def als_blocks(parallelism: int) -> tuple[int, int]:
+    """Drug and target blocks for a cluster with that many cores.
 
-    Blocks follow the cores of the cluster, so each iteration uses all of them.
+    Blocks follow the cores, so that an iteration uses them all, but their product
+    is bounded: recommending for everything runs one task per pair of blocks.
     """
+    drug_blocks = max(1, min(parallelism, MAX_DRUG_BLOCKS))
+    return drug_blocks, max(1, min(parallelism, MAX_BLOCK_PAIRS // drug_blocks))
+
+
+def train_als(training: DataFrame, params: AlsParams = AlsParams(), blocks: tuple[int, int] | None = None) -> ALSModel:
+    """Matrix factorization of ``(drug_idx, target_idx, NormalizedScore)``."""
+    drug_blocks, target_blocks = blocks or als_blocks(training.sparkSession.sparkContext.defaultParallelism)
     ratings = training.select(
         F.col("drug_idx").cast("int").alias("drug_idx"),
         F.col("target_idx").cast("int").alias("target_idx"),
@@ -96,8 +106,8 @@ def train_als(training: DataFrame, params: AlsParams = AlsParams(), blocks: int
         itemCol="target_idx",
         ratingCol="NormalizedScore",
         coldStartStrategy="drop",
-        numUserBlocks=blocks or training.sparkSession.sparkContext.defaultParallelism,
-        numItemBlocks=blocks or training.sparkSession.sparkContext.defaultParallelism,
+        numUserBlocks=drug_blocks,
+        numItemBlocks=target_blocks,
     )
     return als.fit(ratings)
 

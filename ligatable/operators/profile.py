@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ligatable.functions.scores import STRONG_CUT, pscale
 from ligatable.operators.integrate import is_valid
-from ligatable.operators.ordering import quartiles
+from ligatable.operators.ordering import counted_order, quartiles
 from ligatable.sources.registry import SOURCES, AffinitySource, concentration_names, source_names
 
 # Number of curve points and the decades they span, in nM.
@@ -117,17 +117,17 @@ def _reliability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> Da
     )
 
 
-def _normalizability(normalized: DataFrame) -> DataFrame:
+def _normalizability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> DataFrame:
     """Share of scores inside the fences 1.5 interquartile ranges beyond the quartiles."""
-    scores = normalized.select("Source", "AffinityScore")
-    fences = quartiles(scores, "Source", "AffinityScore")
+    known = F.col("Source").isin(source_names(sources))
+    order = counted_order(normalized.filter(known), "Source", "AffinityScore")
+    fences = quartiles(order, "Source", "AffinityScore")
     reach = (F.col("q3") - F.col("q1")) * FENCE
     inside = F.col("AffinityScore").between(F.col("q1") - reach, F.col("q3") + reach)
-    # one row per source
+    share = F.sum(F.when(inside, F.col("n")).otherwise(0)) * 100.0 / F.sum("n")
+    # fences: one row per registered source
     return (
-        scores.join(F.broadcast(fences), "Source")
-        .groupBy("Source")
-        .agg((F.count_if(inside) * 100.0 / F.count(F.lit(1))).alias("normalizability"))
+        order.join(F.broadcast(fences), "Source").groupBy("Source").agg(share.alias("normalizability"))
     )
 
 
@@ -141,5 +141,5 @@ def source_quality(
     return (
         _coverage(canonical)
         .join(_reliability(normalized, sources), "Source", "left")
-        .join(_normalizability(normalized), "Source", "left")
+        .join(_normalizability(normalized, sources), "Source", "left")
     )

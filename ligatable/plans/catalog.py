@@ -192,7 +192,7 @@ def load_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def save_table(spark: SparkSession, folder: str) -> DataFrame:
-    stored = _stored(pairs(spark, folder), "integrated_interactions", "TargetID", "DrugID")
+    stored = _stored(pairs(spark, folder), "integrated_interactions")
     return rounded(stored.withColumn("Sources", F.concat_ws(",", "Sources")))
 
 
