@@ -70,7 +70,9 @@ def minmax_by_source(scored: DataFrame, sources: Sequence[AffinitySource] = SOUR
     """Scale each source to [1, 5] by its own extremes.
 
     The extremes are a partial aggregate with one row per registered source, so the
-    broadcast is bounded by the registry and no source is gathered in one task.
+    broadcast is bounded by the registry and no source is gathered in one task. As a
+    left join on a unique key it vanishes, with its scan, where nobody reads the
+    scaled score.
     """
     extremes = (
         scored.filter(F.col("Source").isin(source_names(sources)))
@@ -79,7 +81,7 @@ def minmax_by_source(scored: DataFrame, sources: Sequence[AffinitySource] = SOUR
     )
     scaled = scores.minmax_scaled(F.col("AffinityScore"), F.col("_low"), F.col("_high"))
     return (
-        scored.join(F.broadcast(extremes), "Source")
+        scored.join(F.broadcast(extremes), "Source", "left")
         .withColumn("NormalizedScore", scaled)
         .select("DrugID", "TargetID", "RawScore", "AffinityScore", "NormalizedScore", "AffinityType", "Source")
     )

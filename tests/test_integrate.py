@@ -88,6 +88,12 @@ def test_pair_aggregate_is_a_hash_aggregate_with_one_shuffle(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_scaling_costs_nothing_where_it_is_not_read(spark, sf_dir):
+    unread = catalog.normalized(spark, sf_dir).select("DrugID", "AffinityScore")
+    plan = unread._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
 def test_strong_binders_only_looks_at_concentrations(spark, rows):
     df = spark.createDataFrame([("a", "t", 1.0, 6.52, "Kd"), ("b", "t", 1.0, 6.5, "Kd"), ("c", "t", 1.0, 9.0, "KIBA")], NORMALIZED)
     assert rows(integrate.strong_binders(df), "DrugID") == [("a",)]
