@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ligatable.sources.registry import SOURCES, AffinitySource
 
 # Which flag pair of a line item stands for which source.
-FLAGS = {"AF": "Davis", "AO": "KIBA", "NF": "IC50", "NO": "Kd", "RF": "Ki"}
+FLAGS = {("A", "F"): "Davis", ("A", "O"): "KIBA", ("N", "F"): "IC50", ("N", "O"): "Kd", ("R", "F"): "Ki"}
 OTHER_FLAG = "EC50"
 PAGE = 100
 
@@ -60,10 +60,9 @@ def drug_id(key: Column) -> Column:
 
 
 def raw_affinity(spark: SparkSession, folder: str) -> DataFrame:
-    flags = F.concat("l_returnflag", "l_linestatus")
     source = F.when(F.lit(False), F.lit(None).cast("string"))
-    for pair, name in FLAGS.items():
-        source = source.when(flags == pair, F.lit(name))
+    for (returned, status), name in FLAGS.items():
+        source = source.when((F.col("l_returnflag") == returned) & (F.col("l_linestatus") == status), F.lit(name))
     quantity = F.col("l_quantity")
     affinity = (
         F.when(quantity == 1, F.lit(None).cast("double"))
