@@ -71,7 +71,8 @@ def lead_compound(
     """Per target the best of its first three drugs that has a usable structure.
 
     Each distinct drug is resolved once; the candidates then fetch the result, salted,
-    since one drug may be a candidate of very many targets.
+    since one drug may be a candidate of very many targets. ``recommendations`` are read
+    several times: pass a stored table.
     """
     candidates = recommendations.filter(F.col("Rank") <= LEAD_CANDIDATES).select("TargetID", "Rank", "DrugID")
     direct = valid_structure(candidates, properties).select(

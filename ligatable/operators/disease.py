@@ -41,7 +41,10 @@ def gene_key(gene_id: Column, gene_symbol: Column) -> Column:
 
 
 def with_gene_key(annotated: DataFrame, gene_ids: DataFrame) -> DataFrame:
-    """Add the ``gene_key`` of human targets that have a gene; null for the others."""
+    """Add the ``gene_key`` of human targets that have a gene; null for the others.
+
+    The views below read the result several times: store it first.
+    """
     named = F.when(F.col("is_human") & (F.col("gene_symbol") != ""), F.col("gene_symbol"))
     ids = gene_ids.select(F.col("gene_symbol").alias("_gene"), "gene_id")
     return (

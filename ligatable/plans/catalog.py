@@ -85,13 +85,18 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def edges_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
     secondary = ppi.ppi_confidence(fixtures.raw_ppi_secondary(spark, folder))
-    return ppi.ppi_with_fallback(edges(spark, folder), secondary)
+    return ppi.ppi_with_fallback(cut_lineage(edges(spark, folder)), secondary)
 
 
 def measured(spark: SparkSession, folder: str, k: int = model.TOP_DRUGS) -> DataFrame:
     return recommend.measured_recommendations(pairs(spark, folder), k)
 
 
+def stored_measured(spark: SparkSession, folder: str, k: int = model.TOP_DRUGS) -> DataFrame:
+    """The recommendations written once, as the training job does, for views that read them several times."""
+    return cut_lineage(measured(spark, folder, k))
+
+
 def nested(spark: SparkSession, folder: str, k: int = model.TOP_DRUGS) -> DataFrame:
     return model.nested_recommendations(measured(spark, folder, k))
 
@@ -124,7 +129,7 @@ def annotated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyed_targets(spark: SparkSession, folder: str) -> DataFrame:
-    return disease.with_gene_key(annotated(spark, folder), gene_ids(spark, folder))
+    return cut_lineage(disease.with_gene_key(annotated(spark, folder), gene_ids(spark, folder)))
 
 
 def gene_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +147,7 @@ def compound_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 def leads(spark: SparkSession, folder: str) -> DataFrame:
     by_cid, by_xref = compound_tables(spark, folder)
     properties = fixtures.compound_property(spark, folder)
-    return compounds.lead_compound(measured(spark, folder), by_cid, by_xref, properties)
+    return compounds.lead_compound(stored_measured(spark, folder), by_cid, by_xref, properties)
 
 
 def _stored(df: DataFrame, name: str, *cluster_by: str) -> DataFrame:
@@ -411,7 +416,7 @@ def disease_tier_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(recommend.score_histogram(measured(spark, folder, LONG_LIST)))
+    return rounded(recommend.score_histogram(stored_measured(spark, folder, LONG_LIST)))
 
 
 @query
@@ -481,13 +486,13 @@ def compound_properties(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def network_edges(spark: SparkSession, folder: str) -> DataFrame:
     neighbors = ppi.ppi_neighbors(edges_with_fallback(spark, folder))
-    return rounded(network.network_edges(measured(spark, folder), neighbors))
+    return rounded(network.network_edges(stored_measured(spark, folder), neighbors))
 
 
 @query
 def network_nodes(spark: SparkSession, folder: str) -> DataFrame:
     neighbors = ppi.ppi_neighbors(edges_with_fallback(spark, folder))
-    return network.network_nodes(network.network_edges(measured(spark, folder), neighbors))
+    return network.network_nodes(network.network_edges(stored_measured(spark, folder), neighbors))
 
 
 # --- model -------------------------------------------------------------------------------------
