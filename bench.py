@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the cores. Every result is computed in
-full and written to the no-op sink.
+full and written to the no-op sink. The first query runs once untimed before.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = all_queries(), {}
-    # start the JVM's file reader and code generator before the first timing
-    queries["latest_metrics"](spark, folder).write.format("noop").mode("overwrite").save()
+    # one untimed run, so that the first timing is not that of a cold JVM
+    queries[names[0]](spark, folder).write.format("noop").mode("overwrite").save()
     for name in names:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
