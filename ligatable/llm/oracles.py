@@ -4,6 +4,28 @@ from __future__ import annotations
 
 SPACED = r"'[^\x20\x09-\x0D]+'"
 
+#: Exact distinct sites of every line; the first place of a line keeps it.
+OP5 = r"""
+WITH docs AS (SELECT doc_id, text, COALESCE(source, '') AS site, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, site, i AS pos, trim(parts[i], chr(32) || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, site, parts, UNNEST(RANGE(1, LEN(parts) + 1)) AS i FROM docs)),
+long AS (SELECT * FROM lines WHERE regexp_matches(line, '^(?:\S+\s+){4}\S')),
+wide AS (
+  SELECT line, MIN(struct_pack(d := doc_id, p := pos)) AS first FROM long GROUP BY line HAVING COUNT(DISTINCT site) >= 3),
+gone AS (
+  SELECT doc_id, LIST(pos) AS gone FROM long JOIN wide USING (line)
+  WHERE NOT (doc_id = first.d AND pos = first.p) GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, LEN(parts) AS n_lines, COALESCE(LEN(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN text
+              ELSE array_to_string([parts[i] FOR i IN RANGE(1, LEN(parts) + 1) IF NOT list_contains(gone, i)], chr(10)) END AS rest
+  FROM docs d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(COALESCE(n_lines, 0) AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(LENGTH(rest) AS BIGINT) AS n_chars, md5(rest) AS text_md5
+FROM kept
+"""
+
 #: Water-filling in closed form; the draw uses digits of the id's md5.
 OP7 = rf"""
 WITH sized AS (
@@ -64,4 +86,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_source_mix": OP7, "op9_decontamination": OP9}
+    return {"op5_line_spread": OP5, "op7_source_mix": OP7, "op9_decontamination": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligatable.llm import mixing, suffix_automaton, token_counts
+from ligatable.llm import ball_simhash, line_spread, mixing, suffix_automaton, token_counts
 from ligatable.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, removed lines, and a digest of what is left."""
+    done = line_spread.without_boilerplate(read(spark, sf_dir, "documents"))
+    return done.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+def op6_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_quotas(read(spark, sf_dir, "documents"))
 
@@ -33,6 +49,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_line_spread": op5_line_spread,
+        "op6_ball_simhash": op6_ball_simhash,
         "op7_source_mix": op7_source_mix,
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
