@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligatable.llm import ball_simhash, line_spread, mixing, suffix_automaton, token_counts
+from ligatable.llm import (
+    ball_simhash,
+    byte_langid,
+    line_spread,
+    mixing,
+    quality,
+    suffix_automaton,
+    token_counts,
+)
 from ligatable.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +27,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_langid.languages(read(spark, sf_dir, "documents"))
+
+
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines, and a digest of what is left."""
     done = line_spread.without_boilerplate(read(spark, sf_dir, "documents"))
@@ -49,6 +65,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_sample": op1_importance_sample,
+        "op4_language_id": op4_language_id,
         "op5_line_spread": op5_line_spread,
         "op6_ball_simhash": op6_ball_simhash,
         "op7_source_mix": op7_source_mix,
