@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ligatable.llm import (
     ball_simhash,
     byte_langid,
+    gated_lm,
     line_spread,
     mixing,
     quality,
@@ -31,6 +32,10 @@ def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.document_scores(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_langid.languages(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_sample": op1_importance_sample,
+        "op3_document_score": op3_document_score,
         "op4_language_id": op4_language_id,
         "op5_line_spread": op5_line_spread,
         "op6_ball_simhash": op6_ball_simhash,
