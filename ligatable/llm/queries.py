@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ligatable.llm import (
     ball_simhash,
+    block_labeller,
     byte_langid,
     gated_lm,
     line_spread,
     mixing,
+    permutation_index,
     quality,
     suffix_automaton,
     token_counts,
@@ -32,6 +34,11 @@ def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.document_scores(read(spark, sf_dir, "documents"))
 
@@ -68,9 +75,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.main_text(read(spark, sf_dir, "pages"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_sample": op1_importance_sample,
+        "op2_permutation_index": op2_permutation_index,
         "op3_document_score": op3_document_score,
         "op4_language_id": op4_language_id,
         "op5_line_spread": op5_line_spread,
@@ -78,4 +90,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mix": op7_source_mix,
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
+        "op10_main_text": op10_main_text,
     }
