@@ -19,8 +19,13 @@ def display_label(text: Column, length: int, ellipsis: str = "…") -> Column:
     return F.when(F.length(text) > length, F.concat(head, F.lit(ellipsis))).otherwise(head)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def numeric_id(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(trimmed(text).rlike(r"^[0-9]+\z"), F.lit(False))
 
 
 def human_looking(target: Column) -> Column:

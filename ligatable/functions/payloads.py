@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ligatable.functions.labels import non_empty
 
 HUMAN_TAXON = 9606
-DISEASES_PER_PAYLOAD = 25
 UNKNOWN = "Unknown"
 DISEASE_SOURCE = "DisGeNET"
 
@@ -87,9 +86,9 @@ def disease_source(*alternatives: Column) -> Column:
 
 
 def parse_disease_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """The leading associations of each payload, ``Position`` counting from 1."""
+    """All associations of each payload, ``Position`` counting from 1."""
     kept = [c for c in payloads.columns if c != payload]
-    items = F.slice(F.from_json(payload, DISEASE_SCHEMA), 1, DISEASES_PER_PAYLOAD)
+    items = F.from_json(payload, DISEASE_SCHEMA)
     d = F.col("_d")
     return payloads.select(*kept, F.posexplode(items).alias("_pos", "_d")).select(
         *kept,

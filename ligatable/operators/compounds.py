@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ligatable.functions.labels import COMPOUND_NAME, non_empty, numeric_id
+from ligatable.functions.labels import COMPOUND_NAME, non_empty, numeric_id, trimmed
 from ligatable.functions.payloads import compound_name
-from ligatable.operators.skew import salted_join
+from ligatable.operators.skew import one_per, salted_join
 
-LEAD_CANDIDATES = 3
 # Property column, its display name, digits (None for whole numbers).
 PROPERTIES: tuple[tuple[str, str, int | None], ...] = (
     ("mol_weight", "Mol. Weight", 2),
@@ -28,17 +27,18 @@ def resolve_compound(drugs: DataFrame, by_cid: DataFrame, by_xref: DataFrame) ->
     """Structure and name of each distinct drug id, by compound id and then by cross-reference.
 
     Ids that are not numeric are not looked up. The name comes from the table that
-    gave the structure.
+    gave the structure. Of several rows for one id the smallest structure counts.
     """
     ids = drugs.select("DrugID").distinct()
-    key = F.when(numeric_id(F.col("DrugID")), F.trim("DrugID"))
+    key = F.when(numeric_id(F.col("DrugID")), trimmed(F.col("DrugID")))
 
     def lookup(table: DataFrame, side: str) -> DataFrame:
-        return table.filter(non_empty(F.col("smiles")).isNotNull()).select(
+        found = table.filter(non_empty(F.col("smiles")).isNotNull()).select(
             F.col("drug_id").alias("_key"),
             F.col("smiles").alias(f"{side}_smiles"),
             compound_name(F.col("title"), F.col("iupac_name")).alias(f"{side}_name"),
         )
+        return one_per(found, "_key", f"{side}_smiles", f"{side}_name")
 
     # ids that are not looked up stay out of the joins: as null keys they would meet in one task
     numeric = ids.withColumn("_key", key).filter(F.col("_key").isNotNull())
@@ -60,21 +60,26 @@ def resolve_compound(drugs: DataFrame, by_cid: DataFrame, by_xref: DataFrame) ->
 def valid_structure(drugs: DataFrame, properties: DataFrame) -> DataFrame:
     """Distinct ids that are structures themselves: not empty, not numeric, known to the compound table."""
     ids = drugs.select("DrugID").distinct()
-    usable = (F.trim("DrugID") != "") & ~numeric_id(F.col("DrugID"))
+    usable = (trimmed(F.col("DrugID")) != "") & ~numeric_id(F.col("DrugID"))
     known = properties.select(F.col("smiles").alias("DrugID")).distinct()
     return ids.filter(usable).join(known, "DrugID", "left_semi")
 
 
 def lead_compound(
-    recommendations: DataFrame, by_cid: DataFrame, by_xref: DataFrame, properties: DataFrame
+    recommendations: DataFrame,
+    by_cid: DataFrame,
+    by_xref: DataFrame,
+    properties: DataFrame,
+    first: int | None = None,
 ) -> DataFrame:
-    """Per target the best of its first three drugs that has a usable structure.
+    """Per target the best of its drugs that has a usable structure, or of its ``first``.
 
     Each distinct drug is resolved once; the candidates then fetch the result, salted,
     since one drug may be a candidate of very many targets. ``recommendations`` are read
     several times: pass a stored table.
     """
-    candidates = recommendations.filter(F.col("Rank") <= LEAD_CANDIDATES).select("TargetID", "Rank", "DrugID")
+    taken = recommendations if first is None else recommendations.filter(F.col("Rank") <= first)
+    candidates = taken.select("TargetID", "Rank", "DrugID")
     direct = valid_structure(candidates, properties).select(
         "DrugID", F.col("DrugID").alias("smiles"), F.substring("DrugID", 1, COMPOUND_NAME).alias("name")
     )
@@ -86,18 +91,21 @@ def lead_compound(
         F.coalesce(non_empty(F.col("name")), F.concat(F.lit("Compound "), F.col("DrugID"))).alias("name"),
     )
     usable = salted_join(candidates, direct.unionByName(looked_up), "DrugID")
-    first = F.min_by(F.struct("Rank", "DrugID", "name", "smiles"), F.col("Rank"))
-    return usable.groupBy("TargetID").agg(first.alias("l")).select(
+    best = F.min(F.struct("Rank", "DrugID", "name", "smiles"))
+    return usable.groupBy("TargetID").agg(best.alias("l")).select(
         "TargetID", "l.Rank", "l.DrugID", F.col("l.name").alias("CompoundName"), "l.smiles"
     )
 
 
 def compound_properties(compounds: DataFrame, properties: DataFrame) -> DataFrame:
-    """Attach the property row of each compound's ``smiles``; unknown compounds keep nulls."""
+    """Attach the property row of each compound's ``smiles``; unknown compounds keep nulls.
+
+    Of several rows for one structure the smallest counts.
+    """
     rounded = [
         (F.round(c, digits) if digits is not None else F.col(c)).alias(c) for c, _, digits in PROPERTIES
     ]
-    return salted_join(compounds, properties.select("smiles", *rounded), "smiles", "left").select(
+    return salted_join(compounds, one_per(properties.select("smiles", *rounded), "smiles"), "smiles", "left").select(
         *compounds.columns, *(c for c, _, _ in PROPERTIES)
     )
 

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from ligatable.functions import payloads
 from ligatable.functions.scores import TIERS, disease_tier
-from ligatable.operators.skew import salted_join
+from ligatable.operators.skew import one_per, salted_join
 
 NOT_HUMAN, NO_GENE, NO_ASSOCIATIONS, OK = "not_human", "no_gene", "no_associations", "ok"
-# Entries kept per gene, entries shown, source names of status rows.
-ENTRIES_PER_GENE = 25
+# Entries shown, source names of status rows.
 ENTRIES_SHOWN = 12
 STATUS_SOURCE = {NOT_HUMAN: "Not applicable", NO_GENE: "UniProt", NO_ASSOCIATIONS: "DisGeNET (no records)"}
 
 
 def target_annotation(targets: DataFrame, proteins: DataFrame) -> DataFrame:
-    """Name, organism, gene and human flag of each target, with defaults for unknown targets."""
-    facts = proteins.select(
-        F.col("accession").alias("TargetID"), "protein_name", "organism", "gene_symbol", "is_human"
+    """Name, organism, gene and human flag of each target, with defaults for unknown targets.
+
+    Of several rows for one accession the smallest counts.
+    """
+    facts = one_per(proteins, "accession", "protein_name", "organism", "gene_symbol", "is_human").withColumnRenamed(
+        "accession", "TargetID"
     )
     return (
         targets.select("TargetID")
@@ -46,7 +48,7 @@ def with_gene_key(annotated: DataFrame, gene_ids: DataFrame) -> DataFrame:
     The views below read the result several times: store it first.
     """
     named = F.when(F.col("is_human") & (F.col("gene_symbol") != ""), F.col("gene_symbol"))
-    ids = gene_ids.select(F.col("gene_symbol").alias("_gene"), "gene_id")
+    ids = gene_ids.groupBy(F.col("gene_symbol").alias("_gene")).agg(F.min("gene_id").alias("gene_id"))
     return (
         salted_join(annotated.withColumn("_gene", named), ids, "_gene", "left")
         .withColumn("gene_key", gene_key(F.col("gene_id"), F.col("_gene")))
@@ -73,6 +75,10 @@ def _message() -> Column:
     return F.when(status == NOT_HUMAN, human_only).when(status == NO_GENE, no_gene).when(status == NO_ASSOCIATIONS, nothing)
 
 
+def _targets_by_gene(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("gene_key").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def disease_status(keyed: DataFrame, associations: DataFrame) -> DataFrame:
     """Outcome of the lookup per target, with a message where there is nothing to show.
 
@@ -86,14 +92,18 @@ def disease_status(keyed: DataFrame, associations: DataFrame) -> DataFrame:
         .when(F.col("_found").isNull(), NO_ASSOCIATIONS)
         .otherwise(OK)
     )
-    looked_up = salted_join(keyed, genes, "gene_key", "left").withColumn("status", status)
+    looked_up = salted_join(keyed, genes, "gene_key", "left", counts=_targets_by_gene(keyed)).withColumn("status", status)
     return looked_up.select("TargetID", "gene_symbol", "status", _message().alias("message"))
 
 
 def disease_associations(keyed: DataFrame, associations: DataFrame) -> DataFrame:
-    """All associations of each target, and one explaining row for a target without any."""
+    """All associations of each target, and one explaining row for a target without any.
+
+    Both tables are read several times: pass stored ones.
+    """
     genes = keyed.select("TargetID", F.col("gene_symbol").alias("Gene"), "gene_key")
-    found = salted_join(associations.drop("Gene"), genes, "gene_key").select(
+    counts = associations.groupBy("gene_key").agg(F.count(F.lit(1)).alias("rows"))
+    found = salted_join(associations.drop("Gene"), genes, "gene_key", counts=counts).select(
         "TargetID", F.lit(OK).alias("status"), "Gene", "Disease", "Score", "Source"
     )
     status = disease_status(keyed, associations).filter(F.col("status") != OK)
@@ -112,16 +122,12 @@ def disease_associations(keyed: DataFrame, associations: DataFrame) -> DataFrame
 
 
 def top_diseases(associations: DataFrame, limit: int = ENTRIES_SHOWN) -> DataFrame:
-    """The best scored associations per gene; rows without a score are left out.
-
-    ``ENTRIES_PER_GENE`` entries are kept per gene and ``limit`` of them shown; with one
-    order for both cuts the smaller one decides.
-    """
+    """The ``limit`` best scored associations per gene; rows without a score are left out."""
     best_first = Window.partitionBy("gene_key").orderBy(F.col("Score").desc(), F.col("Disease"), F.col("Source"))
     return (
         associations.filter(F.col("Score").isNotNull())
         .withColumn("Rank", F.row_number().over(best_first))
-        .filter(F.col("Rank") <= min(limit, ENTRIES_PER_GENE))
+        .filter(F.col("Rank") <= limit)
     )
 
 
@@ -138,5 +144,6 @@ def disease_tier_counts(keyed: DataFrame, associations: DataFrame) -> DataFrame:
         .groupBy("gene_key")
         .agg(*(F.count_if(tier == name).alias(name) for name in names))
     )
-    wide = salted_join(keyed.select("TargetID", "gene_key"), per_gene, "gene_key").select("TargetID", *names)
+    rows = keyed.select("TargetID", "gene_key")
+    wide = salted_join(rows, per_gene, "gene_key", counts=_targets_by_gene(keyed)).select("TargetID", *names)
     return wide.unpivot("TargetID", [F.col(f"`{name}`") for name in names], "Tier", "Count")

@@ -11,10 +11,11 @@ from ligatable.operators.ordering import running_totals
 from ligatable.operators.skew import salted_join
 
 
-def baseline_predictions(training: DataFrame, test: DataFrame, digits: int = 6) -> DataFrame:
-    """Predict a test pair by the mean training score of its target."""
+def baseline_predictions(training: DataFrame, test: DataFrame, digits: int | None = None) -> DataFrame:
+    """Predict a test pair by the mean training score of its target, rounded if asked for."""
+    mean = F.avg("NormalizedScore")
     means = training.groupBy("TargetID").agg(
-        F.round(F.avg("NormalizedScore"), digits).alias("prediction"), F.count(F.lit(1)).alias("rows")
+        (mean if digits is None else F.round(mean, digits)).alias("prediction"), F.count(F.lit(1)).alias("rows")
     )
     scored = salted_join(
         test, means.select("TargetID", "prediction"), "TargetID", counts=means.select("TargetID", "rows")
@@ -63,6 +64,8 @@ def metrics_record(predictions: DataFrame, params: AlsParams = AlsParams()) -> D
         F.lit(params.reg).alias("regParam"),
         F.lit(params.iterations).cast("long").alias("maxIter"),
         F.lit(params.implicit).alias("implicitPrefs"),
+        F.lit(params.drug_blocks).cast("long").alias("drugBlocks"),
+        F.lit(params.target_blocks).cast("long").alias("targetBlocks"),
         F.current_timestamp().alias("timestamp"),
     )
 

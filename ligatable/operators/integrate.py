@@ -29,8 +29,12 @@ def tag_source(df: DataFrame, name: str) -> DataFrame:
 
 
 def is_valid() -> Column:
-    """Both ids are there and the score is positive."""
-    return F.col("DrugID").isNotNull() & F.col("TargetID").isNotNull() & (F.col("RawScore") > 0)
+    """Both ids are there and the score is positive and finite.
+
+    NaN is above infinity in Spark's order, so one bound keeps both out.
+    """
+    score = F.col("RawScore")
+    return F.col("DrugID").isNotNull() & F.col("TargetID").isNotNull() & (score > 0) & (score < float("inf"))
 
 
 def valid_affinity(df: DataFrame) -> DataFrame:

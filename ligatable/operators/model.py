@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from ligatable.operators.ordering import running_totals
 from ligatable.operators.skew import salted_join
+from ligatable.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class AlsParams:
-    """Training settings (fixed values, but for the seed)."""
+    """Training settings (fixed values, but for the seed and the blocks).
+
+    The blocks belong to the model: start values are drawn per block, so another number
+    gives other factors. They do not follow the cluster. An iteration runs one task a
+    block, so take about as many as there are cores for large inputs.
+    """
 
     algorithm: str = "ALS-explicit"
     rank: int = 20
@@ -22,12 +28,12 @@ class AlsParams:
     iterations: int = 15
     implicit: bool = False
     seed: int = 42
+    drug_blocks: int = 10
+    target_blocks: int = 10
 
 
 TOP_DRUGS = 5
 TRAINING_PERCENT = 80
-MAX_DRUG_BLOCKS = 1_000
-MAX_BLOCK_PAIRS = 100_000
 
 
 def label_index(pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
@@ -42,7 +48,7 @@ def label_index(pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
 
 
 def _encode(pairs: DataFrame, labels: DataFrame, id_col: str, idx_col: str) -> DataFrame:
-    unseen = labels.agg(F.count(F.lit(1)).alias("n")).scalar()
+    unseen = F.lit(labels.count())
     joined = salted_join(
         pairs, labels.select(id_col, idx_col), id_col, "left", counts=labels.select(id_col, "rows")
     )
@@ -50,7 +56,10 @@ def _encode(pairs: DataFrame, labels: DataFrame, id_col: str, idx_col: str) -> D
 
 
 def index_ids(pairs: DataFrame, drug_labels: DataFrame, target_labels: DataFrame) -> DataFrame:
-    """Add ``drug_idx`` and ``target_idx``; an id without a label gets the next free index."""
+    """Add ``drug_idx`` and ``target_idx``; an id without a label gets the next free index.
+
+    Label tables are read several times: pass stored ones.
+    """
     encoded = _encode(pairs, drug_labels, "DrugID", "drug_idx")
     return _encode(encoded, target_labels, "TargetID", "target_idx").select(
         *pairs.columns, "drug_idx", "target_idx"
@@ -71,26 +80,16 @@ def split_pairs(pairs: DataFrame, percent: int = TRAINING_PERCENT) -> tuple[Data
 
 
 def drop_cold_start(test: DataFrame, training: DataFrame) -> DataFrame:
-    """Test rows whose drug and target both occur in training."""
+    """Test rows whose drug and target both occur in training; both tables are read several times."""
     known = test
     for key in ("DrugID", "TargetID"):
-        known = salted_join(known, training.select(key).distinct(), key, "left_semi")
+        counts = test.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        known = salted_join(known, training.select(key).distinct(), key, "left_semi", counts=counts)
     return known.select(*test.columns)
 
 
-def als_blocks(parallelism: int) -> tuple[int, int]:
-    """Drug and target blocks for a cluster with that many cores.
-
-    Blocks follow the cores, so that an iteration uses them all, but their product
-    is bounded: recommending for everything runs one task per pair of blocks.
-    """
-    drug_blocks = max(1, min(parallelism, MAX_DRUG_BLOCKS))
-    return drug_blocks, max(1, min(parallelism, MAX_BLOCK_PAIRS // drug_blocks))
-
-
-def train_als(training: DataFrame, params: AlsParams = AlsParams(), blocks: tuple[int, int] | None = None) -> ALSModel:
+def train_als(training: DataFrame, params: AlsParams = AlsParams()) -> ALSModel:
     """Matrix factorization of ``(drug_idx, target_idx, NormalizedScore)``."""
-    drug_blocks, target_blocks = blocks or als_blocks(training.sparkSession.sparkContext.defaultParallelism)
     ratings = training.select(
         F.col("drug_idx").cast("int").alias("drug_idx"),
         F.col("target_idx").cast("int").alias("target_idx"),
@@ -106,15 +105,48 @@ def train_als(training: DataFrame, params: AlsParams = AlsParams(), blocks: tupl
         itemCol="target_idx",
         ratingCol="NormalizedScore",
         coldStartStrategy="drop",
-        numUserBlocks=drug_blocks,
-        numItemBlocks=target_blocks,
+        numUserBlocks=params.drug_blocks,
+        numItemBlocks=params.target_blocks,
     )
     return als.fit(ratings)
 
 
 def score_pairs(model: ALSModel, test: DataFrame) -> DataFrame:
-    """Add ``prediction``; rows the model cannot score are dropped."""
-    return model.transform(test).dropna(subset=["prediction"])
+    """Add ``prediction``, the product of the factors; rows without factors are dropped.
+
+    Both factor joins are salted, as one drug or target may have very many test rows.
+    ``test`` is read several times: pass a stored table.
+    """
+
+    def with_factors(rows: DataFrame, factors: DataFrame, key: str, name: str) -> DataFrame:
+        counts = test.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        table = factors.select(F.col("id").cast("double").alias(key), F.col("features").alias(name))
+        return salted_join(rows, table, key, counts=counts)
+
+    scored = with_factors(test, model.userFactors, "drug_idx", "_drug")
+    scored = with_factors(scored, model.itemFactors, "target_idx", "_target")
+    products = F.zip_with("_drug", "_target", lambda a, b: a.cast("double") * b)
+    prediction = F.aggregate(products, F.lit(0.0), lambda total, x: total + x).cast("float")
+    return scored.select(*test.columns, prediction.alias("prediction"))
+
+
+def drug_residuals(model: ALSModel, training: DataFrame, params: AlsParams) -> DataFrame:
+    """``(drug_idx, residual, rows)``: how far each drug's factors are from solving their equations.
+
+    Drugs are the side that is solved last. With the targets' factors ``v`` and ratings
+    ``r``, the factors ``u`` of a drug with ``n`` ratings solve
+    ``sum(v * (v . u - r)) + reg * n * u = 0``; the residual is the largest component.
+    """
+    drugs = model.userFactors.select(F.col("id").cast("double").alias("drug_idx"), F.col("features").alias("u"))
+    targets = model.itemFactors.select(F.col("id").cast("double").alias("target_idx"), F.col("features").alias("v"))
+    product = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, x: t + x)
+    rated = training.join(drugs, "drug_idx").join(targets, "target_idx").withColumn(
+        "error", product - F.col("NormalizedScore")
+    )
+    sums = [F.sum(F.col("v")[i] * F.col("error")).alias(f"s{i}") for i in range(params.rank)]
+    summed = rated.groupBy("drug_idx").agg(*sums, F.count(F.lit(1)).alias("rows"), F.min("u").alias("u"))
+    parts = [F.abs(F.col(f"s{i}") + params.reg * F.col("rows") * F.col("u")[i]) for i in range(params.rank)]
+    return summed.select(F.col("drug_idx").cast("long").alias("drug_idx"), F.greatest(*parts).alias("residual"), "rows")
 
 
 def recommend_all(model: ALSModel, k: int = TOP_DRUGS) -> DataFrame:
@@ -137,7 +169,10 @@ def flatten_recommendations(nested: DataFrame) -> DataFrame:
 
 
 def decode_ids(flat: DataFrame, drug_labels: DataFrame, target_labels: DataFrame) -> DataFrame:
-    """Indices back to ids by joins with the label tables."""
+    """Indices back to ids by joins with the label tables.
+
+    ``flat`` is written once before, as it may be dear: see ``salted_join``.
+    """
     keyed = flat.withColumns({c: F.col(c).cast("long") for c in ("target_idx", "drug_idx")})
     named = salted_join(keyed, drug_labels.select("drug_idx", "DrugID"), "drug_idx")
     named = named.join(target_labels.select("target_idx", "TargetID"), "target_idx")
@@ -170,11 +205,12 @@ def nested_recommendations(topk: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Recommender:
-    """A trained model with its label tables and its held-out pairs."""
+    """A trained model with its label tables, its training pairs and its held-out pairs."""
 
     model: ALSModel
     drug_labels: DataFrame
     target_labels: DataFrame
+    training: DataFrame
     test: DataFrame
     params: AlsParams
 
@@ -189,9 +225,10 @@ class Recommender:
 def fit_recommender(pairs: DataFrame, params: AlsParams = AlsParams()) -> Recommender:
     """Index, split and train on ``(DrugID, TargetID, NormalizedScore)``.
 
-    ``pairs`` is read several times; pass a stored or checkpointed table.
+    ``pairs`` is read several times; pass a stored or checkpointed table. Label tables
+    and encoded rows are written once and then read by training, scoring and decoding.
     """
-    drug_labels = label_index(pairs, "DrugID", "drug_idx")
-    target_labels = label_index(pairs, "TargetID", "target_idx")
-    training, test = split_pairs(index_ids(pairs, drug_labels, target_labels))
-    return Recommender(train_als(training, params), drug_labels, target_labels, test, params)
+    drug_labels = cut_lineage(label_index(pairs, "DrugID", "drug_idx"))
+    target_labels = cut_lineage(label_index(pairs, "TargetID", "target_idx"))
+    training, test = split_pairs(cut_lineage(index_ids(pairs, drug_labels, target_labels)))
+    return Recommender(train_als(training, params), drug_labels, target_labels, training, test, params)

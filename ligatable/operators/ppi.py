@@ -8,10 +8,9 @@ from pyspark.sql.types import StringType
 
 from ligatable.operators.skew import salted_join
 
-# Confidence cut, score scale, neighbours asked for and shown.
+# Confidence cut, score scale, neighbours shown.
 CONFIDENCE = 0.70
 SCORE_SCALE = 1000.0
-SECONDARY_LIMIT = 25
 NEIGHBOR_LIMIT = 12
 LOCAL, SECONDARY = "local", "secondary"
 
@@ -46,19 +45,19 @@ def ppi_undirected(edges: DataFrame) -> DataFrame:
 
 def _best_per(edges: DataFrame, key: str, other: str, n: int, rank: str) -> DataFrame:
     # rank <= n directly on the window lets Spark cut each group before the shuffle
-    best_first = Window.partitionBy(key).orderBy(F.round("ConfidenceScore", 6).desc(), F.col(other))
+    best_first = Window.partitionBy(key).orderBy(F.col("ConfidenceScore").desc(), F.col(other))
     return edges.withColumn(rank, F.row_number().over(best_first)).filter(F.col(rank) <= n)
 
 
-def ppi_with_fallback(local: DataFrame, secondary: DataFrame, limit: int = SECONDARY_LIMIT) -> DataFrame:
+def ppi_with_fallback(local: DataFrame, secondary: DataFrame) -> DataFrame:
     """Local edges, and the secondary edges of proteins that have no local edge.
 
-    A secondary edge belongs to its ``ProteinA`` only. The best ``limit`` are taken
-    per protein before the anti-join, which leaves no protein with many rows.
+    A secondary edge belongs to its ``ProteinA`` only. Copies are merged first, so a
+    protein has at most one row a partner in the anti-join. ``ppi_neighbors`` takes the
+    best of them.
     """
     proteins = local.select(F.explode(F.array("ProteinA", "ProteinB")).alias("ProteinA")).distinct()
-    best = _best_per(ppi_edges(secondary), "ProteinA", "ProteinB", limit, "_rank").drop("_rank")
-    missing = best.join(proteins, "ProteinA", "left_anti")
+    missing = ppi_edges(secondary).join(proteins, "ProteinA", "left_anti")
     columns = ["ProteinA", "ProteinB", "ConfidenceScore"]
     return (
         local.select(*columns)

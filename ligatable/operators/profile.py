@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ligatable.functions.scores import STRONG_CUT, pscale
 from ligatable.operators.integrate import is_valid
-from ligatable.operators.ordering import counted_order, quartiles
+from ligatable.operators.ordering import quartiles
 from ligatable.sources.registry import SOURCES, AffinitySource, concentration_names, source_names
 
 # Number of curve points and the decades they span, in nM.
@@ -32,14 +32,19 @@ def pscale_curve(spark: SparkSession, points: int = CURVE_POINTS, cut: float = S
 
 
 def pscale_curve_support(
-    valid: DataFrame, points: int = CURVE_POINTS, cut: float = STRONG_CUT, sources: Sequence[AffinitySource] = SOURCES
+    valid: DataFrame,
+    points: int = CURVE_POINTS,
+    cut: float = STRONG_CUT,
+    sources: Sequence[AffinitySource] = SOURCES,
+    digits: int | None = None,
 ) -> DataFrame:
     """The curve with the number of concentration measurements nearest to each point.
 
     Measurements beyond an end count at that end. Counting comes first: at most one
-    row per point meets the curve.
+    row per point meets the curve. ``digits`` rounds the logarithm before.
     """
-    place = (F.round(F.log10("RawScore"), 9) - CURVE_FROM) * (points - 1) / (CURVE_TO - CURVE_FROM)
+    exponent = F.log10("RawScore")
+    place = ((exponent if digits is None else F.round(exponent, digits)) - CURVE_FROM) * (points - 1) / (CURVE_TO - CURVE_FROM)
     nearest = F.greatest(F.least(F.floor(place + 0.5), F.lit(points - 1)), F.lit(0)).cast("long")
     counts = (
         valid.filter(F.col("Source").isin(concentration_names(sources)))
@@ -88,7 +93,7 @@ def _coverage(canonical: DataFrame) -> DataFrame:
     return canonical.groupBy("Source").agg(percent.alias("coverage"))
 
 
-def _reliability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> DataFrame:
+def _reliability(normalized: DataFrame, sources: Sequence[AffinitySource], digits: int | None) -> DataFrame:
     """Share of a source's shared pairs where its mean score is close to the pair mean.
 
     One aggregate per pair holds sum and count of every source side by side, so a
@@ -111,7 +116,8 @@ def _reliability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> Da
         )
     )
     shared = pairs.filter(present > 1).select("mean", F.explode(entries).alias("e")).filter(F.col("e.n") > 0)
-    close = F.round(F.abs(F.col("e.s") / F.col("e.n") - F.col("mean")), 6) <= AGREEMENT
+    away = F.abs(F.col("e.s") / F.col("e.n") - F.col("mean"))
+    close = (away if digits is None else F.round(away, digits)) <= AGREEMENT
     return shared.groupBy(F.col("e.Source").alias("Source")).agg(
         (F.count_if(close) * 100.0 / F.count(F.lit(1))).alias("reliability")
     )
@@ -119,27 +125,28 @@ def _reliability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> Da
 
 def _normalizability(normalized: DataFrame, sources: Sequence[AffinitySource]) -> DataFrame:
     """Share of scores inside the fences 1.5 interquartile ranges beyond the quartiles."""
-    known = F.col("Source").isin(source_names(sources))
-    order = counted_order(normalized.filter(known), "Source", "AffinityScore")
-    fences = quartiles(order, "Source", "AffinityScore")
+    known = normalized.filter(F.col("Source").isin(source_names(sources))).select("Source", "AffinityScore")
+    fences = quartiles(known, "Source", "AffinityScore")
     reach = (F.col("q3") - F.col("q1")) * FENCE
     inside = F.col("AffinityScore").between(F.col("q1") - reach, F.col("q3") + reach)
-    share = F.sum(F.when(inside, F.col("n")).otherwise(0)) * 100.0 / F.sum("n")
+    share = F.count_if(inside) * 100.0 / F.count(F.lit(1))
     # fences: one row per registered source
-    return (
-        order.join(F.broadcast(fences), "Source").groupBy("Source").agg(share.alias("normalizability"))
-    )
+    return known.join(F.broadcast(fences), "Source").groupBy("Source").agg(share.alias("normalizability"))
 
 
 def source_quality(
-    canonical: DataFrame, normalized: DataFrame, sources: Sequence[AffinitySource] = SOURCES
+    canonical: DataFrame,
+    normalized: DataFrame,
+    sources: Sequence[AffinitySource] = SOURCES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Coverage, reliability and normalizability per source, in percent.
 
-    ``canonical`` holds all tagged rows, ``normalized`` the scored valid ones.
+    ``canonical`` holds all tagged rows, ``normalized`` the scored valid ones. ``digits``
+    rounds the distance of scores before it is compared.
     """
     return (
         _coverage(canonical)
-        .join(_reliability(normalized, sources), "Source", "left")
+        .join(_reliability(normalized, sources, digits), "Source", "left")
         .join(_normalizability(normalized, sources), "Source", "left")
     )

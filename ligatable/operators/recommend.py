@@ -10,18 +10,15 @@ from ligatable.functions.scores import rounded_score
 from ligatable.operators.model import TOP_DRUGS, topk_drugs
 from ligatable.operators.skew import salted_join
 
-# List length, chart lengths, histogram bins, points a trend needs.
-TARGET_LIST = 500
+# Chart length, histogram bins, points a trend needs.
 CHART_ROWS = 10
-TREND_ROWS = 20
 HISTOGRAM_BINS = 15
 TREND_MIN_POINTS = 3
 
 
 def measured_recommendations(pairs: DataFrame, k: int = TOP_DRUGS) -> DataFrame:
     """Top ``k`` measured drugs per target, in the shape of learned recommendations."""
-    scored = pairs.select("TargetID", "DrugID", F.round("NormalizedScore", 6).alias("score"))
-    return topk_drugs(scored, k)
+    return topk_drugs(pairs.select("TargetID", "DrugID", F.col("NormalizedScore").alias("score")), k)
 
 
 def ranked_recommendations(nested: DataFrame) -> DataFrame:
@@ -82,16 +79,17 @@ def score_histogram(recommendations: DataFrame, bins: int = HISTOGRAM_BINS) -> D
     )
 
 
-def score_trend(ranked: DataFrame, rows: int = TREND_ROWS) -> DataFrame:
+def score_trend(ranked: DataFrame, rows: int | None = None) -> DataFrame:
     """Least-squares parabola of score over rank, as a fitted value per row.
 
-    Only the first ``rows`` ranks of a target enter, so a window over the target is
-    small. With ranks centred on their mean the normal equations solve in closed
+    All ranks of a target enter, or the first ``rows``. A target has as many of them as
+    recommendations were asked for, so a window over it is small. With ranks centred on their mean the normal equations solve in closed
     form. Fewer than three points give no trend.
     """
     target = Window.partitionBy("TargetID")
     u, y = F.col("_u"), F.col("PredictedScore")
-    centred = top_scores_head(ranked, rows).withColumn("_u", F.col("Rank") - F.avg("Rank").over(target))
+    taken = ranked if rows is None else top_scores_head(ranked, rows)
+    centred = taken.withColumn("_u", F.col("Rank") - F.avg("Rank").over(target))
     terms = {
         "_n": F.lit(1.0), "_s2": u * u, "_s3": u * u * u, "_s4": u * u * u * u,
         "_t0": y, "_t1": u * y, "_t2": u * u * y,
@@ -114,6 +112,7 @@ def human_targets(targets: DataFrame) -> DataFrame:
     return ids.filter(looks_human | ~targets.filter(looks_human).exists())
 
 
-def list_targets(predictions: DataFrame, limit: int = TARGET_LIST) -> DataFrame:
-    """The first ``limit`` distinct target ids in order."""
-    return predictions.select("TargetID").distinct().orderBy("TargetID").limit(limit)
+def list_targets(predictions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct target ids; with ``limit``, the first so many in order."""
+    ids = predictions.select("TargetID").distinct()
+    return ids if limit is None else ids.orderBy("TargetID").limit(limit)

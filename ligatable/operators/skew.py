@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1_000
-HOT_ROWS = 1_000_000
+from ligatable.session import cut_lineage
 
+ROWS_PER_TASK = 1_000_000
 
-def hot_keys(counts: DataFrame, key: str, floor: int = HOT_ROWS, most: int = HOT_KEYS) -> list[Any]:
-    """The ``most`` frequent keys with more than ``floor`` rows, from ``(key, rows)``.
 
-    At most ``most`` keys reach the driver, whatever the data. Every key left out has
-    fewer than ``1 / most`` of all rows, or too few rows to slow a task down.
-    """
-    frequent = counts.filter((F.col("rows") > floor) & F.col(key).isNotNull())
-    return [r[0] for r in frequent.orderBy(F.col("rows").desc()).limit(most).select(key).collect()]
+def one_per(table: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per key: the smallest, column by column in the given order."""
+    kept = columns or tuple(c for c in table.columns if c != key)
+    smallest = F.min(F.struct(*kept)).alias("_one")
+    return table.groupBy(key).agg(smallest).select(key, *(F.col(f"_one.{c}").alias(c) for c in kept))
+
+
+def key_salts(counts: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``(key, _salts)`` of the keys in ``(key, rows)`` that have more rows than a task should get."""
+    salts = F.ceil(F.col("rows") / rows_per_task).cast("int")
+    return counts.filter(F.col(key).isNotNull() & (F.col("rows") > rows_per_task)).select(key, salts.alias("_salts"))
 
 
 def salted_join(
@@ -27,32 +29,32 @@ def salted_join(
     key: str,
     how: str = "inner",
     counts: DataFrame | None = None,
-    floor: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join where ``left`` may have hot keys and ``right`` has few rows per key.
 
-    Rows of a hot key are spread over as many salts as there are shuffle
-    partitions and the matching right rows are repeated once per salt; other keys
-    keep salt 0. Null keys match nothing and are spread too, where the join keeps
-    them. The result is that of the plain join for ``inner``, ``left``,
+    A key with more than ``rows_per_task`` left rows is spread over as many salts as it
+    needs, and its right rows are repeated once per salt; others keep one. The table of
+    salts has fewer than ``rows / rows_per_task`` rows and is joined on, so there is no
+    limit to the number of hot keys. Null keys match nothing and are spread too, where
+    the join keeps them. The result is that of the plain join for ``inner``, ``left``,
     ``left_semi`` and ``left_anti``. The salt is a hash of the left row, so a retried
     task repeats it; left rows are expected to differ from each other.
 
-    Finding the hot keys takes one counting pass over ``left``. Give ``counts``
-    (left rows per key) where the caller has them already.
+    Give ``counts`` (left rows per key) where the caller has them. Without, ``left`` is
+    written once and counted from the written copy.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat right rows")
     if counts is None:
+        left = cut_lineage(left)
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    hot = hot_keys(counts, key, floor)
-    keeps_nulls = how in ("left", "left_anti")
-    if not hot and not keeps_nulls:
-        return left.join(right, key, how)
-    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_left = left.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, spread).otherwise(0))
-    salted_right = right.withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
+    salts = key_salts(counts, key, rows_per_task)
+    # null keys, which have no count, go to as many places as there are partitions
+    spread = F.when(F.col(key).isNull(), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = F.coalesce(F.col("_salts"), spread, F.lit(1))
+    salt = F.pmod(F.xxhash64(*left.columns), wanted).cast("int")
+    salted_left = left.join(salts, key, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    salted_right = right.join(salts, key, "left").withColumn("_salt", every).drop("_salts")
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

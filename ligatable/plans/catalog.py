@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -23,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 LONG_LIST = 25
 DATA_CUT = 5.0
+#: Largest residual of a drug's normal equations, per rating; factors are single precision.
+RESIDUAL = 1e-3
 LOOKUP_TARGET = "P00007"
 _QUERIES: dict[str, Query] = {}
 
@@ -89,7 +92,12 @@ def edges_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def measured(spark: SparkSession, folder: str, k: int = model.TOP_DRUGS) -> DataFrame:
-    return recommend.measured_recommendations(pairs(spark, folder), k)
+    return recommend.measured_recommendations(comparable_pairs(spark, folder), k)
+
+
+def comparable_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs with scores rounded before they are ranked, so that ties do not depend on the engine."""
+    return pairs(spark, folder).withColumn("NormalizedScore", F.round("NormalizedScore", DIGITS))
 
 
 def stored_measured(spark: SparkSession, folder: str, k: int = model.TOP_DRUGS) -> DataFrame:
@@ -115,12 +123,13 @@ def stored_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return model.label_index(rows, "DrugID", "drug_idx"), model.label_index(rows, "TargetID", "target_idx")
+    drug_labels = cut_lineage(model.label_index(rows, "DrugID", "drug_idx"))
+    return drug_labels, cut_lineage(model.label_index(rows, "TargetID", "target_idx"))
 
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     training, test = model.split_pairs(stored_pairs(spark, folder))
-    return evaluate.baseline_predictions(training, test)
+    return evaluate.baseline_predictions(training, test, DIGITS)
 
 
 def annotated(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,6 +149,11 @@ def associations(spark: SparkSession, folder: str) -> DataFrame:
     return disease.associations_by_gene(fixtures.gene_disease(spark, folder))
 
 
+def stored_associations(spark: SparkSession, folder: str) -> DataFrame:
+    """Written once, for views that join, count and look them up."""
+    return cut_lineage(associations(spark, folder))
+
+
 def compound_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return fixtures.compound_cid(spark, folder), fixtures.compound_xref(spark, folder)
 
@@ -177,6 +191,17 @@ def read_affinity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def available_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the sources whose file is there; one file is left out."""
+    path = staging_path(spark, "some_sources")
+    for source, df in fixtures.source_frames(spark, folder):
+        if source.name != "Ki":
+            df.write.csv(f"{path}/{source.file}", header=True, sep=files.SEPARATORS[source.format])
+    found = [integrate.tag_source(df.select(), s.name) for s, df in files.available_sources(spark, path)]
+    return integrate.union_sources(found).groupBy("Source").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def source_registry(spark: SparkSession, folder: str) -> DataFrame:
     return integrate.load_sources(files.available_sources(spark, _affinity_files(spark, folder)))
@@ -206,7 +231,7 @@ def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "predictions_csv")
     tables.export_csv(recommend.ranked_recommendations(nested(spark, folder)), path)
     schema = "TargetID STRING, Rank INT, DrugID STRING, PredictedScore DOUBLE, predictions STRING"
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, escape='"')
 
 
 @query
@@ -284,7 +309,7 @@ def affinity_type(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pscale_curve(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.pscale_curve_support(valid(spark, folder)))
+    return rounded(profile.pscale_curve_support(valid(spark, folder), digits=9))
 
 
 @query
@@ -359,6 +384,14 @@ def lead_compound(spark: SparkSession, folder: str) -> DataFrame:
     return leads(spark, folder)
 
 
+@query
+def lead_screen(spark: SparkSession, folder: str) -> DataFrame:
+    """Lead, properties and rule of five of each target in one row."""
+    properties = fixtures.compound_property(spark, folder)
+    found = compounds.compound_properties(leads(spark, folder).drop("Rank"), properties)
+    return rounded(compounds.lipinski_screen(found))
+
+
 @query
 def top_diseases(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(disease.top_diseases(associations(spark, folder)))
@@ -416,7 +449,8 @@ def disease_tier_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(recommend.score_histogram(stored_measured(spark, folder, LONG_LIST)))
+    scores_of_pairs = comparable_pairs(spark, folder).select("TargetID", "DrugID", F.col("NormalizedScore").alias("score"))
+    return rounded(recommend.score_histogram(cut_lineage(scores_of_pairs)))
 
 
 @query
@@ -426,7 +460,7 @@ def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def source_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.source_quality(canonical(spark, folder), normalized(spark, folder)))
+    return rounded(profile.source_quality(canonical(spark, folder), normalized(spark, folder), digits=DIGITS))
 
 
 # --- set operations and lookups ------------------------------------------------------------
@@ -468,7 +502,39 @@ def target_annotation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def disease_associations(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(disease.disease_associations(keyed_targets(spark, folder), associations(spark, folder)))
+    return rounded(disease.disease_associations(keyed_targets(spark, folder), stored_associations(spark, folder)))
+
+
+@query
+def disease_associations_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """From the payloads to the view: parsed associations under the gene ids that were looked up."""
+    parsed = payloads.parse_disease_json(fixtures.disease_payload(spark, folder))
+    ids = gene_ids(spark, folder)
+    under_keys = parsed.join(ids, "gene_symbol", "left").select(
+        disease.gene_key(F.col("gene_id"), F.col("gene_symbol")).alias("gene_key"),
+        F.col("gene_symbol").alias("Gene"),
+        "Disease",
+        "Score",
+        "Source",
+    )
+    return rounded(disease.disease_associations(keyed_targets(spark, folder), cut_lineage(under_keys)))
+
+
+@query
+def ppi_fallback_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """From the payloads to the view: parsed partners where a protein has no local edge."""
+    parsed = payloads.parse_ppi_json(fixtures.ppi_payload(spark, folder))
+    confident = parsed.filter(F.col("ConfidenceScore") >= ppi.CONFIDENCE)
+    return rounded(ppi.ppi_with_fallback(cut_lineage(edges(spark, folder)), confident))
+
+
+@query
+def resolve_compound_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """From the payloads to the view: one parsed record per compound id."""
+    parsed = payloads.parse_compound_json(fixtures.compound_payload(spark, folder)).select(
+        "drug_id", "smiles", F.col("name").alias("title"), F.lit(None).cast("string").alias("iupac_name")
+    )
+    return compounds.resolve_compound(drugs(spark, folder), parsed, parsed.limit(0)).drop("via")
 
 
 @query
@@ -504,7 +570,11 @@ def _fitted(spark: SparkSession, folder: str) -> model.Recommender:
 
 def _encoded_recommendations(rows: DataFrame, by_drug: DataFrame, by_target: DataFrame) -> DataFrame:
     """Measured recommendations under indices, in the shape the trained model returns."""
-    encoded = model.index_ids(recommend.measured_recommendations(rows), by_drug, by_target)
+    encoded = model.index_ids(
+        recommend.measured_recommendations(rows.withColumn("NormalizedScore", F.round("NormalizedScore", DIGITS))),
+        by_drug,
+        by_target,
+    )
     entry = F.struct("Rank", F.col("drug_idx").cast("int").alias("drug_idx"), F.col("score").alias("rating"))
     in_order = F.array_sort(F.collect_list(entry))
     recommendations = F.transform(in_order, lambda r: F.struct(r["drug_idx"].alias("drug_idx"), r["rating"].alias("rating")))
@@ -540,12 +610,26 @@ def train_als(spark: SparkSession, folder: str) -> DataFrame:
 
     user = factors("drug", fitted.model.userFactors, fitted.drug_labels, "drug_idx", "DrugID")
     item = factors("target", fitted.model.itemFactors, fitted.target_labels, "target_idx", "TargetID")
-    return user.unionByName(item)
+    unsolved = model.drug_residuals(fitted.model, fitted.training, fitted.params).filter(
+        F.col("residual") > RESIDUAL * F.col("rows")
+    )
+    wrong = unsolved.join(fitted.drug_labels, "drug_idx").select(F.lit("drug").alias("side"), F.col("DrugID").alias("id"))
+    marked = user.unionByName(item).join(wrong.withColumn("wrong", F.lit(True)), ["side", "id"], "left")
+    return marked.select("side", "id", "factors", (F.col("wrong").isNull() & (F.col("norm") > 0)).alias("solved"))
 
 
 @query
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return _fitted(spark, folder).predictions()
+    """Every scored pair, and whether its score is what the trained model itself computes."""
+    fitted = _fitted(spark, folder)
+    ours = fitted.predictions().select("DrugID", "TargetID", "NormalizedScore", "prediction")
+    theirs = fitted.model.transform(fitted.test).select("DrugID", "TargetID", F.col("prediction").alias("expected"))
+    same = F.abs(F.col("prediction") - F.col("expected")) < 1e-4
+    return rounded(
+        ours.join(theirs, ["DrugID", "TargetID"], "left").select(
+            "DrugID", "TargetID", "NormalizedScore", F.coalesce(same, F.lit(False)).alias("is_product")
+        )
+    )
 
 
 @query
@@ -574,8 +658,19 @@ def decode_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def metrics_record(spark: SparkSession, folder: str) -> DataFrame:
+    """The settings, and whether Spark's own evaluators give the recorded metrics."""
     fitted = _fitted(spark, folder)
-    return evaluate.metrics_record(cut_lineage(fitted.predictions()), fitted.params)
+    predictions = cut_lineage(fitted.predictions())
+    rmse = RegressionEvaluator(metricName="rmse", labelCol="NormalizedScore").evaluate(predictions)
+    curve = BinaryClassificationEvaluator(
+        metricName="areaUnderPR", labelCol="TrueLabel", rawPredictionCol="prediction", numBins=0
+    ).evaluate(evaluate.binarize_label(predictions))
+    record = evaluate.metrics_record(predictions, fitted.params)
+    return record.select(
+        *(c for c in record.columns if c not in ("rmse", "aupr", "timestamp")),
+        (F.abs(F.col("rmse") - rmse) < 1e-9).alias("rmse_recomputed"),
+        (F.abs(F.col("aupr") - curve) < 1e-9).alias("aupr_recomputed"),
+    )
 
 
 @query
@@ -585,8 +680,17 @@ def score_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def als_recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    recommended = _fitted(spark, folder).recommendations()
-    return recommended.select("TargetID", _recommendation_text().alias("recommendations"))
+    """Per target the entries, and whether they are distinct known drugs in order of score."""
+    fitted = _fitted(spark, folder)
+    entries = F.col("recommendations")
+    in_order = F.forall(entries, lambda e: e["score"].isNotNull()) & (
+        F.transform(entries, lambda e: e["score"])
+        == F.reverse(F.array_sort(F.transform(entries, lambda e: e["score"])))
+    )
+    distinct = F.size(F.array_distinct(F.transform(entries, lambda e: e["DrugID"]))) == F.size(entries)
+    return fitted.recommendations().select(
+        "TargetID", F.size(entries).alias("entries"), in_order.alias("in_order"), distinct.alias("known_drugs")
+    )
 
 
 # --- payloads ----------------------------------------------------------------------------------

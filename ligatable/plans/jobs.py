@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from ligatable.operators import evaluate, integrate, model, ppi
-from ligatable.session import build_session, cut_lineage
+from ligatable.session import build_session, cut_lineage, drop_staged, staging_path
 from ligatable.sources import files, tables
 
 # Names of the stored tables and of the protein link file.
@@ -29,13 +29,17 @@ def stored(spark: SparkSession, store: str, name: str, fmt: str = "parquet") ->
 def integrate_sources(spark: SparkSession, data: str, store: str, fmt: str = "parquet") -> DataFrame:
     """Write the integrated pairs and the protein edges; returns the row report.
 
-    Text is parsed once: the valid scored rows are written and then read twice, for
-    the extremes and for the pairs.
+    Text is parsed once: the valid scored rows are written in columns and then read
+    twice, two columns for the extremes and all for the pairs. They go at the end.
     """
     rows = integrate.load_sources(files.available_sources(spark, data))
-    scored = cut_lineage(integrate.score_affinity(rows))
-    pairs = integrate.integrated_pairs(integrate.minmax_by_source(scored))
-    tables.save_table(pairs, f"{store}/{INTEGRATED}", fmt)
+    path = staging_path(spark, "scored")
+    try:
+        tables.save_table(integrate.score_affinity(rows), path)
+        pairs = integrate.integrated_pairs(integrate.minmax_by_source(tables.load_table(spark, path)))
+        tables.save_table(pairs, f"{store}/{INTEGRATED}", fmt)
+    finally:
+        drop_staged(spark, path)
     links = files.read_ppi(spark, f"{data}/{PPI_FILE}")
     if links is not None:
         tables.save_table(ppi.ppi_edges(ppi.ppi_confidence(links)), f"{store}/{PPI_EDGES}", fmt)

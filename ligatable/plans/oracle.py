@@ -108,10 +108,9 @@ TABLES: dict[str, str] = {
     SELECT ProteinA, ProteinB, ConfidenceScore, 'local' AS Origin FROM edges
     UNION ALL
     SELECT ProteinA, ProteinB, ConfidenceScore, 'secondary' FROM (
-        SELECT protein1 AS ProteinA, protein2 AS ProteinB, combined_score / 1000.0 AS ConfidenceScore,
-               row_number() OVER (PARTITION BY protein1 ORDER BY combined_score DESC, protein2) AS rk
+        SELECT protein1 AS ProteinA, protein2 AS ProteinB, combined_score / 1000.0 AS ConfidenceScore
         FROM raw_ppi_secondary WHERE combined_score >= 700) s
-    WHERE rk <= 25 AND ProteinA NOT IN (SELECT ProteinA FROM edges UNION SELECT ProteinB FROM edges)""",
+    WHERE ProteinA NOT IN (SELECT ProteinA FROM edges UNION SELECT ProteinB FROM edges)""",
     "local_neighbors": """
     SELECT TargetID, NeighborID, ConfidenceScore, CAST(rk AS INTEGER) AS NeighborRank FROM (
         SELECT *, row_number() OVER (PARTITION BY TargetID ORDER BY ConfidenceScore DESC, NeighborID) AS rk FROM (
@@ -162,14 +161,15 @@ TABLES: dict[str, str] = {
            CASE WHEN s_suppkey % 2 = 0 THEN CAST(100000 + s_suppkey AS string) END AS gene_id
     FROM supplier""",
     "gene_disease": """
-    SELECT l_suppkey, l_partkey, concat('GENE', CAST(l_suppkey AS string)) AS gene_symbol,
+    SELECT l_suppkey, l_partkey,
+           concat(CASE WHEN l_suppkey % 6 = 1 THEN 'LOST' ELSE 'GENE' END, CAST(l_suppkey AS string)) AS gene_symbol,
            CASE WHEN l_suppkey % 2 = 0 THEN 100000 + l_suppkey ELSE NULL END AS ncbi_id,
            CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat('disease ', CAST(l_partkey AS string)) END AS disease_name,
            concat('C', CAST(l_partkey AS string)) AS disease_id,
            CAST(CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE max(l_discount) * 10 END AS DOUBLE) AS score,
            CAST(CASE WHEN l_partkey % 22 = 0 THEN 0.5 ELSE NULL END AS DOUBLE) AS gda_score,
            CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'CURATED' END AS source
-    FROM lineitem WHERE l_suppkey % 6 <> 1 GROUP BY l_suppkey, l_partkey""",
+    FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "associations": """
     SELECT coalesce(CAST(ncbi_id AS string), gene_symbol) AS gene_key, gene_symbol AS Gene,
            coalesce(disease_name, disease_id) AS Disease, coalesce(nullif(score, 0), gda_score) AS Score,
@@ -194,10 +194,10 @@ TABLES: dict[str, str] = {
            p_name AS title, concat('iupac-', CAST(p_partkey AS string)) AS iupac_name
     FROM part WHERE p_partkey % 3 = 0""",
     "compound_xref": """
-    SELECT CAST(p_partkey AS string) AS drug_id, concat('CC(=O)N', CAST(p_partkey AS string)) AS smiles,
+    SELECT concat(CASE WHEN p_partkey % 3 = 2 THEN 'x' ELSE '' END, CAST(p_partkey AS string)) AS drug_id, concat('CC(=O)N', CAST(p_partkey AS string)) AS smiles,
            CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE NULL END AS title,
            concat('iupac-', CAST(p_partkey AS string)) AS iupac_name
-    FROM part WHERE p_partkey % 3 = 1""",
+    FROM part WHERE p_partkey % 3 <> 0""",
     "compound_property": """
     SELECT concat('CC(=O)N', CAST(p_partkey AS string)) AS smiles, CAST(300 + p_size * 6 AS DOUBLE) AS mol_weight,
            CAST(p_partkey % 80 AS DOUBLE) / 10 AS logp, p_partkey % 8 AS h_donors, p_partkey % 14 AS h_acceptors,
@@ -250,7 +250,7 @@ TWINS: dict[str, str] = {
                           FROM targets) t
     WHERE human OR NOT EXISTS (SELECT 1 FROM targets
                                WHERE length(TargetID) = 6 AND substring(TargetID, 1, 1) IN ('P', 'Q', 'O'))""",
-    "list_targets": "SELECT DISTINCT TargetID FROM measured ORDER BY TargetID LIMIT 500",
+    "list_targets": "SELECT DISTINCT TargetID FROM measured",
     "drop_cold_start": """
     SELECT DrugID, TargetID, round(NormalizedScore, 6) AS NormalizedScore FROM split
     WHERE NOT is_training AND DrugID IN (SELECT DrugID FROM split WHERE is_training)
@@ -296,11 +296,11 @@ TWINS: dict[str, str] = {
     SELECT TargetID, Rank, DrugID, CompoundName, smiles FROM (
         SELECT *, row_number() OVER (PARTITION BY TargetID ORDER BY Rank) AS first FROM (
             SELECT m.TargetID, m.Rank, m.DrugID, substring(m.DrugID, 1, 30) AS CompoundName, m.DrugID AS smiles
-            FROM measured m WHERE m.Rank <= 3 AND m.DrugID IN (SELECT smiles FROM compound_property)
+            FROM measured m WHERE m.DrugID IN (SELECT smiles FROM compound_property)
             UNION ALL
             SELECT m.TargetID, m.Rank, m.DrugID, coalesce(nullif(r.name, ''), concat('Compound ', m.DrugID)), r.smiles
             FROM measured m JOIN resolved r ON m.DrugID = r.DrugID
-            WHERE m.Rank <= 3 AND r.smiles IN (SELECT smiles FROM compound_property)) u) f
+            WHERE r.smiles IN (SELECT smiles FROM compound_property)) u) f
     WHERE first = 1""",
     "top_diseases": """
     SELECT gene_key, Gene, Disease, round(Score, 6) AS Score, Source, CAST(rk AS INTEGER) AS Rank FROM (
@@ -339,7 +339,8 @@ TWINS: dict[str, str] = {
                  CAST(CASE WHEN high > low THEN least(floor((score - low) * 15 / (high - low)), 14) ELSE 0 END + 1 AS INTEGER)
                      AS bin
           FROM (SELECT TargetID, score, min(score) OVER (PARTITION BY TargetID) AS low,
-                       max(score) OVER (PARTITION BY TargetID) AS high FROM measured_long) w) b
+                       max(score) OVER (PARTITION BY TargetID) AS high
+                FROM (SELECT TargetID, round(NormalizedScore, 6) AS score FROM pairs) s) w) b
     GROUP BY TargetID, bin, low, high""",
     "latest_metrics": """
     SELECT algorithm, round(rmse, 6) AS rmse, round(aupr, 6) AS aupr, run_ts, run_id FROM latest""",
@@ -424,6 +425,39 @@ TWINS: dict[str, str] = {
                              sum(u * u * PredictedScore) AS t2
                       FROM points GROUP BY TargetID HAVING count(*) >= 3) m) k) f
     RIGHT JOIN points p ON p.TargetID = f.TargetID""",
+    "train_als": """
+    SELECT 'drug' AS side, DrugID AS id, 20 AS factors, TRUE AS solved FROM split WHERE is_training GROUP BY DrugID
+    UNION ALL
+    SELECT 'target', TargetID, 20, TRUE FROM split WHERE is_training GROUP BY TargetID""",
+    "score_pairs": """
+    SELECT DrugID, TargetID, round(NormalizedScore, 6) AS NormalizedScore, TRUE AS is_product FROM split
+    WHERE NOT is_training AND DrugID IN (SELECT DrugID FROM split WHERE is_training)
+      AND TargetID IN (SELECT TargetID FROM split WHERE is_training)""",
+    "metrics_record": """
+    SELECT 'ALS-explicit' AS algorithm, CAST(20 AS BIGINT) AS rank, CAST(0.05 AS DOUBLE) AS regParam,
+           CAST(15 AS BIGINT) AS maxIter, FALSE AS implicitPrefs, CAST(10 AS BIGINT) AS drugBlocks,
+           CAST(10 AS BIGINT) AS targetBlocks, TRUE AS rmse_recomputed, TRUE AS aupr_recomputed""",
+    "als_recommendations": """
+    SELECT TargetID, CAST(least(5, (SELECT count(DISTINCT DrugID) FROM split WHERE is_training)) AS INTEGER) AS entries,
+           TRUE AS in_order, TRUE AS known_drugs
+    FROM split WHERE is_training GROUP BY TargetID""",
+    "available_sources": """
+    SELECT Source, count(*) AS rows FROM canonical WHERE Source <> 'Ki' GROUP BY Source""",
+    "lead_screen": """
+    SELECT l.TargetID, l.DrugID, l.CompoundName, l.smiles, round(mol_weight, 2) AS mol_weight, round(logp, 2) AS logp,
+           h_donors, h_acceptors, round(tpsa, 2) AS tpsa, rotatable_bonds,
+           mol_weight <= 500 AND logp <= 5 AND h_donors <= 5 AND h_acceptors <= 10 AS passes,
+           (mol_weight > 500)::INTEGER + (logp > 5)::INTEGER + (h_donors > 5)::INTEGER + (h_acceptors > 10)::INTEGER
+               AS violations
+    FROM (LEAD) l JOIN compound_property p ON l.smiles = p.smiles""",
+    "disease_associations_parsed": "ASSOCIATED",
+    "ppi_fallback_parsed": f"""
+    SELECT ProteinA, ProteinB, round(ConfidenceScore, 6) AS ConfidenceScore, 'local' AS Origin FROM edges
+    UNION ALL
+    SELECT {_target('x')}, {_target('y')}, round(sc / 1000.0, 6)::DOUBLE, 'secondary'
+    FROM protein_links WHERE x % 10 = 9 AND y % 9 <> 0 AND sc >= 700
+      AND {_target('x')} NOT IN (SELECT ProteinA FROM edges UNION SELECT ProteinB FROM edges)""",
+    "resolve_compound_parsed": "SELECT DrugID, smiles, name FROM resolved",
     "parse_protein_json": "SELECT accession, protein_name, organism, is_human, gene_symbol FROM parsed_protein",
     "parse_ppi_json": f"""
     SELECT {_target('x')} AS ProteinA, {_target('y')} AS ProteinB,
@@ -434,8 +468,7 @@ TWINS: dict[str, str] = {
            round(coalesce(nullif(score, 0), gda_score), 6) AS Score, coalesce(source, 'DisGeNET') AS Source
     FROM (SELECT *, l_partkey // 100 AS page,
                  row_number() OVER (PARTITION BY l_suppkey, l_partkey // 100 ORDER BY l_partkey) AS rk
-          FROM gene_disease) p
-    WHERE rk <= 25""",
+          FROM gene_disease) p""",
     "parse_compound_json": """
     SELECT drug_id, smiles, coalesce(title, iupac_name) AS name
     FROM (SELECT * FROM compound_cid UNION ALL SELECT * FROM compound_xref) c""",
@@ -456,9 +489,12 @@ TWINS: dict[str, str] = {
       AND DrugID IN (SELECT smiles FROM compound_property)""",
 }
 
+TWINS["lead_screen"] = TWINS["lead_screen"].replace("LEAD", TWINS["lead_compound"])
+TWINS["disease_associations_parsed"] = TWINS["disease_associations"]
+
 TABLES["points"] = f"""
     SELECT TargetID, Rank, {_four('score')} AS PredictedScore, Rank - avg(Rank) OVER (PARTITION BY TargetID) AS u
-    FROM measured_long WHERE Rank <= 20"""
+    FROM measured_long"""
 
 
 def _needed(text: str, found: list[str]) -> list[str]:
@@ -474,7 +510,7 @@ def _needed(text: str, found: list[str]) -> list[str]:
 def sql_for(name: str) -> str:
     text = TWINS[name]
     tables = ",\n".join(f"{t} AS ({TABLES[t]})" for t in _needed(text, []))
-    return f"WITH {tables}\n{text}"
+    return f"WITH {tables}\n{text}" if tables else text
 
 
 def all_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -31,10 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    one machine is the whole cluster, may fall back to a temporary folder.
+    one machine is the whole cluster, may name a folder of the machine or fall back
+    to a temporary one.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
+        if not spark.sparkContext.master.startswith("local") and _file_system(spark, named).getScheme() == "file":
+            raise RuntimeError(f"{CHECKPOINT_CONF} is {named}, which is another folder on every executor")
         return named
     in_use = spark.sparkContext.getCheckpointDir()
     if in_use:
@@ -44,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="ligatable-")
 
 
+def _file_system(spark: SparkSession, path: str) -> JavaObject:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``staging_path`` named, with what was written there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    if not folder.getName().startswith("staged-"):
+        raise ValueError(f"{path} is no staged table")
+    _file_system(spark, path).delete(folder, True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table written on the way to a result."""
     return f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}/{name}"

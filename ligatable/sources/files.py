@@ -19,7 +19,10 @@ PPI_COLUMNS = ("protein1", "protein2", "combined_score")
 def _read_text_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     # Every column stays a string: inference would cost a pass over the data and
     # would turn the id "007" into 7.
-    return spark.read.csv(path, header=True, inferSchema=False, sep=SEPARATORS.get(fmt, ","))
+    # Columns go by place, so a file of the folder with another header stops the read.
+    return spark.read.csv(
+        path, header=True, inferSchema=False, enforceSchema=False, sep=SEPARATORS.get(fmt, ","), escape='"'
+    )
 
 
 def _require(df: DataFrame, columns: Sequence[str], path: str) -> DataFrame:

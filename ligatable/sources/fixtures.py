@@ -202,7 +202,6 @@ def protein_payload(spark: SparkSession, folder: str) -> DataFrame:
 def _gene_disease_keys(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_suppkey") % 6 != 1)
         .groupBy("l_suppkey", "l_partkey")
         .agg(F.max("l_discount").alias("discount"))
     )
@@ -211,7 +210,8 @@ def _gene_disease_keys(spark: SparkSession, folder: str) -> DataFrame:
 def _gene_disease_columns() -> dict[str, Column]:
     gene, part = F.col("l_suppkey"), F.col("l_partkey")
     return {
-        "gene_symbol": F.concat(F.lit("GENE"), _text(gene)),
+        # a sixth of the genes goes by symbols that no protein has
+        "gene_symbol": F.concat(F.when(gene % 6 == 1, "LOST").otherwise("GENE"), _text(gene)),
         "ncbi_id": F.when(gene % 2 == 0, gene + 100000),
         "disease_name": F.when(part % 4 != 0, F.concat(F.lit("disease "), _text(part))),
         "disease_id": F.concat(F.lit("C"), _text(part)),
@@ -262,13 +262,14 @@ def gene_search_payload(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _compounds(spark: SparkSession, folder: str, remainder: int, title: Callable[[Column], Column]) -> DataFrame:
+def _compounds(spark: SparkSession, folder: str, rows: Column, title: Callable[[Column], Column]) -> DataFrame:
+    """Parts that leave 2 on division by 3 stand under ids that no drug has."""
     key = F.col("p_partkey")
     return (
         table(spark, folder, "part")
-        .filter(key % 3 == remainder)
+        .filter(rows)
         .select(
-            _text(key).alias("drug_id"),
+            F.concat(F.when(key % 3 == 2, "x").otherwise(""), _text(key)).alias("drug_id"),
             structure(key).alias("smiles"),
             title(key).alias("title"),
             F.concat(F.lit("iupac-"), _text(key)).alias("iupac_name"),
@@ -277,11 +278,11 @@ def _compounds(spark: SparkSession, folder: str, remainder: int, title: Callable
 
 
 def compound_cid(spark: SparkSession, folder: str) -> DataFrame:
-    return _compounds(spark, folder, 0, lambda key: F.col("p_name"))
+    return _compounds(spark, folder, F.col("p_partkey") % 3 == 0, lambda key: F.col("p_name"))
 
 
 def compound_xref(spark: SparkSession, folder: str) -> DataFrame:
-    return _compounds(spark, folder, 1, lambda key: F.when(key % 2 == 0, F.col("p_name")))
+    return _compounds(spark, folder, F.col("p_partkey") % 3 != 0, lambda key: F.when(key % 2 == 0, F.col("p_name")))
 
 
 def compound_payload(spark: SparkSession, folder: str) -> DataFrame:

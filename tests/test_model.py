@@ -4,7 +4,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from ligatable.operators import evaluate, model
+from ligatable.operators import evaluate, model, recommend, skew
 from ligatable.plans import catalog
 
 PAIR = "DrugID STRING, TargetID STRING, NormalizedScore DOUBLE"
@@ -87,10 +87,34 @@ def test_encoding_and_decoding_are_inverse(planted, fitted, rows):
     assert rows(decoded, "DrugID", "TargetID", "score") == rows(planted)
 
 
-def test_blocks_follow_the_cores_but_stay_bounded():
-    assert model.als_blocks(8) == (8, 8)
-    drug_blocks, target_blocks = model.als_blocks(20_000)
-    assert drug_blocks * target_blocks <= model.MAX_BLOCK_PAIRS
+def test_model_does_not_depend_on_the_cluster(planted, fitted, monkeypatch):
+    """Equal predictions under another default parallelism and partitioning."""
+    first = {(r.DrugID, r.TargetID): r.prediction for r in fitted.predictions().collect()}
+    context = type(planted.sparkSession.sparkContext)
+    monkeypatch.setattr(context, "defaultParallelism", property(lambda self: 3))
+    again = model.fit_recommender(planted.repartition(3), fitted.params).predictions().collect()
+    assert {(r.DrugID, r.TargetID): r.prediction for r in again} == pytest.approx(first, abs=1e-4)
+
+
+def test_predictions_are_those_of_the_trained_model(fitted):
+    theirs = {(r.DrugID, r.TargetID): r.prediction for r in fitted.model.transform(fitted.test).collect()}
+    ours = {(r.DrugID, r.TargetID): r.prediction for r in fitted.predictions().collect()}
+    assert ours == pytest.approx(theirs, abs=1e-5)
+
+
+def test_products_of_all_factors_are_computed_once(spark, fitted, monkeypatch):
+    """One job tree holds the cross join of the factors: the one that writes the flat rows."""
+    seen = []
+    cut = skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: seen.append(df._jdf.queryExecution().toString()) or cut(df))
+    result = fitted.recommendations()
+    assert sum("CartesianProduct" in plan or "NestedLoop" in plan for plan in seen) == 1
+    assert "CartesianProduct" not in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_ties_rank_by_full_precision(spark, rows):
+    pairs = spark.createDataFrame([("a", "t", 3.0000001), ("b", "t", 3.0000003)], PAIR)
+    assert rows(recommend.measured_recommendations(pairs, 1), "DrugID") == [("b",)]
 
 
 def test_metrics_equal_the_evaluators(fitted):
@@ -112,7 +136,8 @@ def test_metrics_record_and_latest(spark, fitted):
     record = evaluate.metrics_record(fitted.predictions(), fitted.params)
     assert [(f.name, f.dataType.typeName()) for f in record.schema.fields] == [
         ("algorithm", "string"), ("rmse", "double"), ("aupr", "double"), ("rank", "long"), ("regParam", "double"),
-        ("maxIter", "long"), ("implicitPrefs", "boolean"), ("timestamp", "timestamp"),
+        ("maxIter", "long"), ("implicitPrefs", "boolean"), ("drugBlocks", "long"), ("targetBlocks", "long"),
+        ("timestamp", "timestamp"),
     ]
     history = spark.createDataFrame([("a", 1), ("c", 3), ("b", 2)], "algorithm STRING, timestamp INT")
     assert [r.algorithm for r in evaluate.latest_metrics(history).collect()] == ["c"]

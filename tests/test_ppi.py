@@ -34,7 +34,7 @@ def test_fallback_only_where_there_is_no_local_edge(spark, rows):
     )
     both = ppi.ppi_with_fallback(local, secondary)
     assert rows(both.filter("ProteinA != 'd'")) == [("a", "b", 0.8, "local"), ("c", "a", 0.9, "secondary")]
-    assert both.filter("ProteinA = 'd'").count() == 25
+    assert both.filter("ProteinA = 'd'").count() == 30
     # the edge of c does not make c a neighbour of a
     assert rows(ppi.ppi_neighbors(both).filter("TargetID = 'a'"), "NeighborID") == [("b",)]
 

@@ -6,8 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ligatable.operators.ordering import counted_order, quartiles, running_totals
-from ligatable.operators.skew import hot_keys, salted_join
+from ligatable.operators.ordering import quartiles, running_totals
+from ligatable.operators.skew import key_salts, one_per, salted_join
 
 RANDOM = random.Random(7)
 
@@ -19,13 +19,13 @@ def skewed(spark, n=600):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("floor", [50, 10**6])
-def test_salted_join_equals_plain_join(spark, rows, how, floor):
+@pytest.mark.parametrize("most", [7, 50, 10**6])
+def test_salted_join_equals_plain_join(spark, rows, how, most):
     left = skewed(spark)
     right = spark.createDataFrame([("hot", "h"), ("k1", "a"), ("k1", "b"), ("k2", "c"), ("x", "d")], "key STRING, w STRING")
     if how in ("left_semi", "left_anti"):
         right = right.select("key").distinct()
-    assert rows(salted_join(left, right, "key", how, floor=floor)) == rows(left.join(right, "key", how))
+    assert rows(salted_join(left, right, "key", how, rows_per_task=most)) == rows(left.join(right, "key", how))
 
 
 def test_salted_join_spreads_the_hot_key(spark):
@@ -34,7 +34,7 @@ def test_salted_join_spreads_the_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_join(left, right, "key", floor=50)
+        joined = salted_join(left, right, "key", rows_per_task=50)
         parts = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -42,10 +42,22 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert len(parts) > 1
 
 
-def test_hot_keys_are_bounded(spark):
-    counts = spark.range(500).selectExpr("id AS key", "id + 10 AS rows")
-    assert hot_keys(counts, "key", floor=0, most=3) == [499, 498, 497]
-    assert hot_keys(counts, "key", floor=10**6) == []
+def test_every_hot_key_gets_the_salts_it_needs(spark):
+    counts = spark.range(3000).selectExpr("id AS key", "id * 10 AS rows")
+    salts = dict(key_salts(counts, "key", 100).collect())
+    assert salts == {k: -(-k * 10 // 100) for k in range(11, 3000)}
+
+
+def test_two_thousand_hot_keys_are_spread(spark, rows):
+    left = spark.range(20_000).selectExpr("id % 2000 AS key", "id AS v")
+    right = spark.range(2000).selectExpr("id AS key", "id * 2 AS w")
+    joined = salted_join(left, right, "key", rows_per_task=3)
+    assert rows(joined) == rows(left.join(right, "key"))
+
+
+def test_one_row_per_key(spark, rows):
+    table = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, "q")], "k STRING, n INT, t STRING")
+    assert rows(one_per(table, "k")) == [("a", 1, "y"), ("b", None, "q")]
 
 
 def test_other_joins_are_refused(spark):
@@ -75,5 +87,13 @@ def test_running_totals_use_many_tasks(spark):
 @given(values=st.lists(st.integers(0, 20).map(float), min_size=1, max_size=60))
 def test_quartiles_match_numpy(spark, values):
     df = spark.createDataFrame([("g", v) for v in values], "g STRING, v DOUBLE")
-    r = quartiles(counted_order(df, "g", "v"), "g", "v").collect()[0]
+    r = quartiles(df, "g", "v").collect()[0]
     assert np.allclose([r.q1, r.q3], np.quantile(values, [0.25, 0.75]))
+
+
+def test_quartiles_of_uneven_groups(spark):
+    """Far outliers put nearly all rows into one step."""
+    data = {"a": [RANDOM.gauss(0, 1) for _ in range(2000)] + [1e9], "b": [RANDOM.random() for _ in range(777)], "c": [2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None)], "g STRING, v DOUBLE")
+    for r in quartiles(df, "g", "v").collect():
+        assert np.allclose([r.q1, r.q3], np.quantile(data[r.g], [0.25, 0.75]))

@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 
 from ligatable.operators import integrate
@@ -57,14 +59,51 @@ def test_save_overwrites_in_other_formats(spark, tmp_path):
     assert tables.load_table(spark, str(tmp_path / "j"), "orc").count() == 3
 
 
-def test_export_puts_targets_with_one_prefix_in_one_folder(spark, tmp_path):
+def test_folder_whose_files_differ_in_their_header_is_refused(spark, tmp_path):
+    folder = tmp_path / "Kd_bind.tsv"
+    folder.mkdir()
+    write(folder / "a.tsv", "drug_id\ttarget_id\taffinity\nD0\tT0\t4\n")
+    write(folder / "b.tsv", "target_id\taffinity\tdrug_id\nT1\t5\tD1\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_affinity(spark, str(folder), "tsv").collect()
+
+
+def test_scores_that_are_no_number_spoil_nothing(spark, rows):
+    raw = spark.createDataFrame(
+        [("d", "t", s) for s in ("1", "3", "NaN", "Infinity", "-Infinity", "x", "")], "DrugID STRING, TargetID STRING, s STRING"
+    )
+    valid = integrate.valid_affinity(integrate.canonical_affinity(raw, "DrugID", "TargetID", "s"))
+    assert rows(valid, "RawScore") == [(1.0,), (3.0,)]
+    scaled = integrate.minmax_by_source(integrate.score_affinity(integrate.tag_source(valid, "Davis")))
+    assert rows(scaled, "NormalizedScore") == [(1.0,), (5.0,)]
+
+
+def test_export_is_read_back_by_a_csv_reader(spark, tmp_path):
+    ids = ['C"1', "C\\C=C", 'a,b"', "\\\"x,", "plain"]
+    ranked = spark.createDataFrame(
+        [("T", i, d, 1.5) for i, d in enumerate(ids)], "TargetID STRING, Rank INT, DrugID STRING, PredictedScore DOUBLE"
+    )
+    tables.export_csv(ranked, str(tmp_path / "x"))
+    found = []
+    for part in (tmp_path / "x").glob("*.csv"):
+        with part.open(newline="") as f:
+            found += [r["DrugID"] for r in csv.DictReader(f)]
+    assert sorted(found) == sorted(ids)
+    assert sorted(r.DrugID for r in files.read_affinity(spark, str(tmp_path / "x"), "csv").collect()) == sorted(ids)
+
+
+def test_export_has_few_files_for_many_targets(spark, tmp_path):
+    ranked = spark.range(100_000).selectExpr("concat('9606.ENSP000', id) TargetID", "1 Rank", "'d' DrugID", "1.0D PredictedScore")
+    tables.export_csv(ranked, str(tmp_path / "x"))
+    assert 1 <= len(list((tmp_path / "x").rglob("*.csv"))) <= 10
+
+
+def test_export_names_targets_by_their_first_characters(spark, tmp_path):
     ranked = spark.createDataFrame(
         [("ABCDEFGHIJKLMN", 1, "d", 1.0), ("ABCDEFGHIJKLXX", 1, "e", 2.0), ("S", 1, "f", 3.0)],
         "TargetID STRING, Rank INT, DrugID STRING, PredictedScore DOUBLE",
     )
     tables.export_csv(ranked, str(tmp_path / "x"))
-    folders = sorted(p.name for p in (tmp_path / "x").iterdir() if p.is_dir())
-    assert folders == ["predictions=ABCDEFGHIJKL", "predictions=S"]
     text = "".join(p.read_text() for p in (tmp_path / "x").rglob("*.csv"))
-    assert "TargetID,Rank,DrugID,PredictedScore" in text
-    assert "ABCDEFGHIJKLMN,1,d,1.0" in text and "ABCDEFGHIJKLXX,1,e,2.0" in text
+    assert "TargetID,Rank,DrugID,PredictedScore,predictions" in text
+    assert "ABCDEFGHIJKLMN,1,d,1.0,ABCDEFGHIJKL" in text and "ABCDEFGHIJKLXX,1,e,2.0,ABCDEFGHIJKL" in text

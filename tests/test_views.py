@@ -115,11 +115,28 @@ def test_compounds_resolve_by_id_then_cross_reference(spark, rows, chemistry):
     ]
 
 
-def test_lead_is_the_first_usable_of_three(spark, rows, chemistry):
+def test_lead_is_the_first_usable(spark, rows, chemistry):
     recs = [("t", "2", 1), ("t", "3", 2), ("t", "CCO", 3), ("u", "4", 1), ("u", "77", 2), ("u", "zz", 3), ("u", "CCO", 4), ("v", "CCO", 1)]
     df = spark.createDataFrame(recs, "TargetID STRING, DrugID STRING, Rank INT")
-    # S2 is no known structure, 77 is numeric, and rank 4 comes too late
-    assert rows(compounds.lead_compound(df, *chemistry)) == [("t", 2, "3", "Compound 3", "S3"), ("v", 1, "CCO", "CCO", "CCO")]
+    # S2 is no known structure, 77 is numeric; of three drugs, rank 4 comes too late
+    found = [("t", 2, "3", "Compound 3", "S3"), ("u", 4, "CCO", "CCO", "CCO"), ("v", 1, "CCO", "CCO", "CCO")]
+    assert rows(compounds.lead_compound(df, *chemistry)) == found
+    assert rows(compounds.lead_compound(df, *chemistry, first=3)) == [found[0], found[2]]
+
+
+def test_lookup_rows_that_repeat_multiply_nothing(spark, rows, chemistry):
+    cid, xref, known = (t.unionByName(t) for t in chemistry)
+    other = spark.createDataFrame([("1", "S0", "zero", None)], COMPOUND)
+    drugs = spark.createDataFrame([("1",), ("3",)], "DrugID STRING")
+    resolved = compounds.resolve_compound(drugs, cid.unionByName(other), xref)
+    assert rows(resolved) == [("1", "S0", "zero", "cid"), ("3", "S3", None, "xref")]
+    assert compounds.compound_properties(resolved, known).count() == 2
+
+
+def test_ids_may_have_white_space_around(spark, rows, chemistry):
+    drugs = spark.createDataFrame([("1\t",), ("\r\n2\r\n",), ("3\n4",)], "DrugID STRING")
+    found = compounds.resolve_compound(drugs, *chemistry[:2])
+    assert rows(found, "smiles") == [(None,), ("S1",), ("S2",)]
 
 
 def test_screen_needs_all_four(spark):
@@ -156,7 +173,7 @@ def test_disease_payload_rules(spark):
     assert [(r.Position, r.Disease, r.Score, r.Source) for r in got] == [
         (1, "D", 0.3, "N"), (2, "Unknown", None, "DisGeNET"), (3, "C1", 0.5, "DisGeNET"),
     ]
-    assert len(parse(spark, payloads.parse_disease_json, "[" + ",".join(['{"score": 1}'] * 40) + "]")) == 25
+    assert len(parse(spark, payloads.parse_disease_json, "[" + ",".join(['{"score": 1}'] * 40) + "]")) == 40
 
 
 def test_other_payloads(spark):
@@ -206,6 +223,7 @@ def test_top_diseases_skip_missing_scores(spark, rows, genetics):
     many = spark.createDataFrame([("g", "G", f"d{i:03d}", i / 100, "s") for i in range(60)], genetics[1].schema)
     assert rows(disease.top_diseases(many), "Rank", "Disease")[0] == (1, "d059")
     assert disease.top_diseases(many).count() == 12
+    assert disease.top_diseases(many, 40).count() == 40
 
 
 def test_curve_and_profile(spark, rows):
