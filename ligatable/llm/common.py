@@ -16,6 +16,8 @@ BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 512
 #: A-Z to a-z; every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Rows that a histogram or its last bin brings to the driver at most.
+BINS = 4096
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,3 +91,31 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
         step = max(1, -(-rows // n))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
+    """The ``k``-th largest value, found by ever finer histograms of at most ``BINS`` bins."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    above = 0
+    while k > 0 and low is not None:
+        inside = rows.filter(F.col(column).between(low, high))
+        place = F.floor((F.col(column) - low) / ((high - low) or 1.0) * BINS)
+        bins = (
+            inside.groupBy(F.least(place, F.lit(BINS - 1)).alias("bin"))
+            .agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+            .orderBy(F.desc("bin"))
+            .collect()
+        )
+        for row in bins:
+            if above + row.n >= k:
+                break
+            above += row.n
+        else:
+            return low
+        low, high = row.low, row.high
+        if low == high:
+            return low
+        if row.n <= BINS:
+            last = rows.filter(F.col(column).between(low, high)).orderBy(F.desc(column)).limit(BINS).collect()
+            return last[k - above - 1][column]
+    return None

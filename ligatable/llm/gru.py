@@ -43,25 +43,72 @@ def forward(
     return out
 
 
+def states(p: dict[str, np.ndarray], ids: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What ``forward`` returns, without a tape and faster: lanes lie along the fast axis.
+
+    A logistic gate is half a hyperbolic tangent of half its input, plus a half.
+    """
+    n = h.shape[1]
+    w, u = p["w"].copy(), np.ascontiguousarray(p["u"].T)
+    w[:, : 2 * n] = 0.5 * (w[:, : 2 * n] + p["b"][: 2 * n])
+    u[: 2 * n] *= 0.5
+    bias = p["b"][2 * n :, None]
+    out = np.empty((len(ids), n, ids.shape[1]), np.float32)
+    a, x = np.empty((2, 3 * n, ids.shape[1]), np.float32)
+    gates, new = a[: 2 * n], a[2 * n :]
+    z, r = gates[:n], gates[n:]
+    h = np.ascontiguousarray(h.T)
+    whole = keep.all(axis=1)
+    for t in range(len(ids)):
+        np.copyto(x, w[ids[t]].T)
+        np.matmul(u, h, out=a)
+        gates += x[: 2 * n]
+        np.tanh(gates, out=gates)
+        new += bias
+        r += 1
+        r *= 0.5
+        new *= r
+        new += x[2 * n :]
+        np.tanh(new, out=new)
+        new -= h
+        np.subtract(1, z, out=z)
+        z *= 0.5
+        if not whole[t]:
+            z *= keep[t]
+        new *= z
+        h = np.add(h, new, out=out[t])
+    return out.transpose(0, 2, 1)
+
+
 def backward(
     p: dict[str, np.ndarray], ids: np.ndarray, keep: np.ndarray, tape: list, d_out: np.ndarray
 ) -> dict[str, np.ndarray]:
     """Gradients of the layer's weights for gradients ``d_out`` of its states."""
     n = d_out.shape[2]
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    d_in, d_rec = np.empty((2, *ids.shape, 3 * n), d_out.dtype)
     dh = np.zeros_like(d_out[0])
     for t in range(len(ids) - 1, -1, -1):
         h, z, r, new, a = tape[t]
         k = keep[t][:, None]
         dh = dh + d_out[t]
-        d_new = dh * k * (1 - z) * (1 - new * new)
-        d_z = dh * k * (h - new) * z * (1 - z)
-        d_r = d_new * a * r * (1 - r)
-        d_a = np.concatenate((d_z, d_r, d_new * r), axis=1)
-        grads["u"] += h.T @ d_a
-        grads["b"] += d_a.sum(axis=0)
-        add_rows(grads["w"], ids[t], np.concatenate((d_z, d_r, d_new), axis=1))
-        dh = dh * (1 - k * (1 - z)) + d_a @ p["u"].T
+        moved = dh * k
+        stay = 1 - z
+        d_new = moved * stay
+        dh -= d_new
+        d_new *= 1 - new * new
+        moved *= h - new
+        moved *= z
+        gates = d_rec[t, :, : 2 * n]
+        gates[:, :n] = moved * stay
+        gates[:, n:] = d_new * a * r * (1 - r)
+        d_rec[t, :, 2 * n :] = d_new * r
+        d_in[t, :, : 2 * n] = gates
+        d_in[t, :, 2 * n :] = d_new
+        dh += d_rec[t] @ p["u"].T
+    flat = d_rec.reshape(-1, 3 * n)
+    before = np.concatenate([step[0] for step in tape])
+    grads = {"w": np.zeros_like(p["w"]), "u": before.T @ flat, "b": flat.sum(axis=0)}
+    add_rows(grads["w"], ids.ravel(), d_in.reshape(-1, 3 * n))
     return grads
 
 

@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligatable.llm.common import LOWER, hash_table, pieces, rows_out, small_batches, utf8, word_hashes
+from ligatable.llm.common import LOWER, hash_table, kth_largest, pieces, rows_out, small_batches, utf8, word_hashes
 from ligatable.session import cut_lineage
 
 BUCKET_BITS = 15
 #: Labelled target documents that the target model reads at most.
 TARGET_DOCS = 20_000
-#: Rows that a histogram or its last bin brings to the driver at most.
-BINS = 4096
 
 COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_ratio", pa.float64())])
@@ -64,34 +62,6 @@ def log_ratios(counts: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
-    """The ``k``-th largest value, found by ever finer histograms of at most ``BINS`` bins."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    above = 0
-    while k > 0 and low is not None:
-        inside = rows.filter(F.col(column).between(low, high))
-        place = F.floor((F.col(column) - low) / ((high - low) or 1.0) * BINS)
-        bins = (
-            inside.groupBy(F.least(place, F.lit(BINS - 1)).alias("bin"))
-            .agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
-            .orderBy(F.desc("bin"))
-            .collect()
-        )
-        for row in bins:
-            if above + row.n >= k:
-                break
-            above += row.n
-        else:
-            return low
-        low, high = row.low, row.high
-        if low == high:
-            return low
-        if row.n <= BINS:
-            last = rows.filter(F.col(column).between(low, high)).orderBy(F.desc(column)).limit(BINS).collect()
-            return last[k - above - 1][column]
-    return None
-
-
 def importance_sample(
     docs: DataFrame,
     labels: DataFrame,

@@ -7,7 +7,7 @@ import pytest
 from cases import EXTRA, LONG, ROWS, TEXT, documents, words
 from zlib import crc32
 
-from ligatable.llm import byte_langid, gated_lm, gru, quality
+from ligatable.llm import byte_langid, common, gated_lm, gru, quality
 
 
 def numeric(loss, array, at, eps=1e-2):
@@ -155,6 +155,18 @@ def test_counts_do_not_depend_on_the_list(spark, sf_dir, monkeypatch):
     assert all(got[k][0] == pytest.approx(want[k][0]) for k in want)
 
 
+def test_all_counts_may_tie_at_the_cut(spark, monkeypatch):
+    """No word is listed then, but for the end; all counts are joined."""
+    monkeypatch.setattr(gated_lm, "LISTED", 5)
+    ids = [i for i in range(60) if crc32(str(i).encode()) % 7 != 2][:20]
+    docs = spark.createDataFrame([(i, f"only{i} here{i}") for i in ids], "doc_id long, text string")
+    n, v = 60, 41
+    for r in gated_lm.document_scores(docs).collect():
+        assert (r.train_tokens, r.n_tokens, r.n_known) == (n, 3, 3)
+        assert r.base_score == pytest.approx(math.log10(4 * 21) - 3 * math.log10(n + v + 1))
+        assert math.isfinite(r.score)
+
+
 def test_score_cases(spark):
     rows = gated_lm.document_scores(documents(spark)).collect()
     assert len(rows) == len(ROWS)
@@ -250,7 +262,7 @@ def test_kth_largest(spark, k):
     rng = random.Random(k)
     values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-7), 3.5, -1e9 * rng.random()]) for _ in range(10_000)]
     table = spark.createDataFrame([(v,) for v in values], "x double")
-    assert quality.kth_largest(table, "x", k) == sorted(values, reverse=True)[k - 1]
+    assert common.kth_largest(table, "x", k) == sorted(values, reverse=True)[k - 1]
 
 
 def test_quality_cases(spark):
