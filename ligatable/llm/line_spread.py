@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ligatable.session import cut_lineage
+
 #: Registers of a sketch, as a power of two; its standard error is about 1.6 %.
 LG_K = 12
+#: A line is hot from one in so many places on.
+HOT_SHARE = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -32,7 +36,7 @@ def _counted_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
-    """``(h1, h2, first)`` of the lines on at least ``min_sites`` distinct sites.
+    """``(h1, h2, first, n)`` of the lines on at least ``min_sites`` distinct sites.
 
     Each line hash gets a HyperLogLog sketch of its sites; sketches merge by
     aggregation, partly before the shuffle, so a line that a third of all documents
@@ -43,16 +47,16 @@ def boilerplate(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
     place = F.struct("doc_id", "d1", "d2", "pos")
     spread = (
         lines.groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(place).alias("first"))
-        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
+        .select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").alias("sites"))
         .filter(F.col("sites") >= min_sites / 2)
     )
-    sure = spread.filter(F.col("sites") > 2 * min_sites).select("h1", "h2", "first")
-    near = spread.filter(F.col("sites") <= 2 * min_sites).select("h1", "h2", "first")
+    sure = spread.filter(F.col("sites") > 2 * min_sites).select("h1", "h2", "first", "n")
+    near = spread.filter(F.col("sites") <= 2 * min_sites).select("h1", "h2", "first", "n")
     exact = (
-        lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        .groupBy("h1", "h2", "site")
-        .agg(F.count("*").alias("n"))
+        lines.select("h1", "h2", "site")
+        .distinct()
+        .join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("sites"))
         .filter(F.col("sites") >= min_sites)
@@ -60,6 +64,33 @@ def boilerplate(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
     return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
 
 
+def _places_to_clear(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``(d1, d2, gone)``: the line numbers that go, by document.
+
+    Lines with a thousandth or more of all places of ``found`` are at most a thousand:
+    they are broadcast, and their places dealt by document, so no task gets all places
+    of a frequent line. The others are joined by their hash.
+    """
+    found = cut_lineage(found)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") * HOT_SHARE >= total
+    hot = F.broadcast(found.filter(frequent).select("h1", "h2", F.col("first").alias("hot_first")))
+    cold = found.filter(~frequent).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("first").alias("cold_first"))
+    is_hot = F.col("hot_first").isNotNull()
+    dealt = lines.join(hot, ["h1", "h2"], "left").select(
+        "d1",
+        "d2",
+        "pos",
+        "hot_first",
+        F.when(is_hot, F.col("d1")).otherwise(F.col("h1")).alias("k1"),
+        F.when(is_hot, F.col("d2")).otherwise(F.col("h2")).alias("k2"),
+    )
+    first = F.coalesce("hot_first", "cold_first")
+    is_first = (first["d1"] == F.col("d1")) & (first["d2"] == F.col("d2")) & (first["pos"] == F.col("pos"))
+    # null where the line is not among those found
+    return dealt.join(cold, ["k1", "k2"], "left").filter(~is_first).groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
+
+
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 5) -> DataFrame:
     """``row`` (all columns), ``text`` (what is left of it), ``n_lines``, ``n_removed``.
 
@@ -78,17 +109,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
         F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"),
     )
     slim = whole.select("doc_id", "text", "site")
-    found = boilerplate(slim, min_sites, min_words)
-    is_first = (
-        (F.col("first.d1") == F.col("d1")) & (F.col("first.d2") == F.col("d2")) & (F.col("first.pos") == F.col("pos"))
-    )
-    removed = (
-        _counted_lines(slim, min_words)
-        .join(found, ["h1", "h2"])
-        .filter(~is_first)
-        .groupBy("d1", "d2")
-        .agg(F.collect_set("pos").alias("gone"))
-    )
+    removed = _places_to_clear(_counted_lines(slim, min_words), boilerplate(slim, min_sites, min_words))
     d1, d2 = _key("doc_id", "text")
     joined = whole.withColumn("d1", d1).withColumn("d2", d2).join(removed, ["d1", "d2"], "left")
     kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("gone", i))
