@@ -294,14 +294,13 @@ class Labeller:
 
 
 def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
-    """A labeller from at most ``most`` pages, by hash; semantic markup gives the labels."""
-    sample = (
-        pages.select(F.col("html").cast("string").alias("html"))
-        .filter(f"html is not null and length(html) <= {TRAIN_CHARS}")
-        .orderBy(F.xxhash64(F.lit(8), "html"), "html")
-        .limit(most)
-        .collect()
-    )
+    """A labeller from at most ``most`` pages, by hash of id and address; semantic markup gives the labels."""
+    key = F.xxhash64(F.lit(8), "page_id", "url")
+    # keys are chosen first, so that no task gathers more pages than are wanted
+    chosen = F.broadcast(pages.select(key.alias("key")).orderBy("key").limit(most))
+    keyed = pages.select(key.alias("key"), F.col("html").cast("string").alias("html"))
+    usable = keyed.join(chosen.distinct(), "key").filter(f"html is not null and length(html) <= {TRAIN_CHARS}")
+    sample = sorted(usable.limit(most).collect(), key=lambda r: (r.key, r.html))
     table, labeller = hash_table(), Labeller()
     read = [b for b in (page_blocks(r.html) for r in sample) if b]
     if read:

@@ -15,8 +15,8 @@ from ligatable.llm.common import LOWER, held_out, pieces, rows_out, small_batche
 HIDDEN = 16
 #: Longest run of bytes that is read at once; longer words are read in such runs.
 RUN = 32
-#: Labelled documents a language, and words of each, that training reads at most.
-DOCS_A_LANG, WORDS_A_DOC = 300, 60
+#: Languages, labelled documents a language, and words of each, that training reads at most.
+MOST_LANGS, DOCS_A_LANG, WORDS_A_DOC = 500, 300, 60
 EPOCHS = 4
 #: Words whose labels a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -125,10 +125,19 @@ class _Index(dict):
 def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.ndarray]:
     """Words of a bounded, hashed sample of labelled documents, evenly spaced in each.
 
-    At most ``DOCS_A_LANG * WORDS_A_DOC`` words a language come to the driver.
+    At most ``DOCS_A_LANG * WORDS_A_DOC`` words a language come to the driver, from the
+    ``MOST_LANGS`` languages with the most labels. Ids are chosen first, without texts,
+    in two steps, so that no task gathers the choices of all others.
     """
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id", "text"))
-    sample = labelled.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= DOCS_A_LANG)
+    told = labelled.select("doc_id", "lang", F.xxhash64(F.lit(3), "doc_id").alias("order"))
+    common = told.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+    chosen = told.join(F.broadcast(common), "lang").withColumn("part", F.pmod("order", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "doc_id"))
+        chosen = chosen.withColumn("n", first).filter(F.col("n") <= DOCS_A_LANG)
+    # at most DOCS_A_LANG ids a language
+    ids = F.broadcast(chosen.select("doc_id", "lang").distinct())
+    sample = labelled.join(ids, ["doc_id", "lang"]).dropDuplicates(["doc_id"]).filter(F.col("text").rlike(r"\p{L}"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     step = F.greatest(F.lit(1), F.floor(F.size("w") / WORDS_A_DOC)).cast("int")
     picked = F.slice(F.filter("w", lambda _, i: i % F.col("step") == 0), 1, WORDS_A_DOC)
@@ -138,6 +147,7 @@ def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.nda
         .select("lang", F.transform(picked, lambda x: F.substring(x, 1, RUN)).alias("w"))
         .collect()
     )
+    rows.sort(key=lambda r: (r.lang, r.w))
     langs = sorted({r.lang for r in rows})
     pairs = [(w.encode().translate(LOWER)[:RUN], langs.index(r.lang)) for r in rows for w in r.w if w]
     return langs, [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
@@ -145,8 +155,7 @@ def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.nda
 
 def learn(labelled: DataFrame) -> Labeller | None:
     """A labeller from ``labelled (doc_id, text, lang)``; none if there is nothing to learn."""
-    usable = labelled.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    langs, words, labels = _training_words(usable)
+    langs, words, labels = _training_words(labelled.filter("lang is not null"))
     if not words:
         return None
     labeller = Labeller(langs)

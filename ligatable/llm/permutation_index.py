@@ -64,8 +64,13 @@ class Pivots:
 
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS, seed: int = 17) -> Pivots | None:
-    """At most ``count`` different vectors, by hash of the id; these come to the driver."""
-    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(2 * count).collect()
+    """At most ``count`` different vectors, by hash of the id; these come to the driver.
+
+    Ids are chosen first, so that no task gathers more vectors than are wanted.
+    """
+    order = F.xxhash64(F.lit(seed), "vec_id")
+    chosen = F.broadcast(vectors.select("vec_id").orderBy(order, "vec_id").limit(2 * count))
+    rows = sorted(vectors.join(chosen, "vec_id").withColumn("order", order).collect(), key=lambda r: (r.order, r.vec_id))
     if not rows:
         return None
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)

@@ -133,9 +133,8 @@ class Automaton:
 def automata(items: DataFrame, window: int, most: int = AUTOMATON_WORDS) -> list[Automaton]:
     """One automaton for every ``most`` words of ``items (item_id, text)``, at least one.
 
-    The items are read by the driver in order of size, an automaton's worth at a time,
-    so neither the driver nor a task holds more than one of them. Null and wordless
-    items have no windows; rows that repeat an item change nothing.
+    The items come to the driver partition by partition. A task holds one automaton at a
+    time. Null and wordless items have no windows; rows that repeat an item change nothing.
     """
     parts: list[list[tuple[str, list[bytes]]]] = [[]]
     held = 0
