@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligatable.llm.common import SPACES
+from ligatable.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash bins of a source. All documents but those of one bin are repeated whole.
 BINS = 4096
+#: Sources whose plan, of some 50 bytes each, is broadcast.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -111,7 +114,11 @@ def mix_quotas(docs: DataFrame, keep: Sequence[str] = (), **target_options: obje
         (_digits(F.col("doc_id"), 4, 6) / F.lit(float(16**6))).alias("u"),
         F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
     )
-    plan = mix_plan(sized.select("source", "size", "bin"), **target_options)
+    plan = cut_lineage(mix_plan(sized.select("source", "size", "bin"), **target_options))
+    # a plan of few sources goes to the documents; with more, documents meet it by source,
+    # where adaptive execution splits a source with very many of them
+    if plan.count() <= FEW_SOURCES:
+        plan = F.broadcast(plan)
     size, part = F.col("size"), F.floor(F.col("part") * F.col("size") + F.col("u"))
     extra = F.when(F.col("bin") < F.col("cut"), size).when(F.col("bin") == F.col("cut"), part).otherwise(F.lit(0))
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("of")))
