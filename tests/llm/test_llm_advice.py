@@ -33,6 +33,18 @@ def test_edited_copies_do_not_stay(spark, sf_dir):
     assert similar > 25 and kept == {r[0] for r in rows} - set(lost)
 
 
+def test_every_group_keeps_one_row_whatever_its_ids(spark, sf_dir):
+    """An id on two texts, copies under other ids, and copies without any."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "xyz")
+    rows = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, two, "en", "b", 1), (3, one, "en", "b", 1)]
+    rows += [(None, three, "en", f"s{i}", 1) for i in range(5)] + [(None, one, "en", "c", 1)]
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    kept = stage(spark, documents(spark, rows), sf_dir)
+    assert kept.columns == documents(spark, rows).columns
+    assert sorted(r.text for r in kept.collect()) == sorted([one, two, three])
+    assert stage(spark, documents(spark, []), sf_dir).count() == 0
+
+
 def test_bands_find_pairs_at_the_limit():
     draw = np.random.default_rng(1)
     met = 0
