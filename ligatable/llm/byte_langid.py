@@ -49,6 +49,8 @@ class Labeller:
     def __init__(self, langs: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
         self.langs = langs
+        #: The score that labelled documents of every language usually reach.
+        self.usual = 1.0
         self.there, self.back = gru.new_layer(rng, 257, HIDDEN), gru.new_layer(rng, 257, HIDDEN)
         self.out = {
             "o": rng.normal(0, 0.1, (2 * HIDDEN, len(langs))).astype(np.float32),
@@ -122,8 +124,8 @@ class _Index(dict):
         return n
 
 
-def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Words of a bounded, hashed sample of labelled documents, evenly spaced in each.
+def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
+    """Languages, words, and by word its language and document, of a bounded, hashed sample of labelled documents, evenly spaced in each.
 
     At most ``DOCS_A_LANG * WORDS_A_DOC`` words a language come to the driver, from the
     ``MOST_LANGS`` languages with the most labels. Ids are chosen first, without texts,
@@ -149,20 +151,34 @@ def _training_words(labelled: DataFrame) -> tuple[list[str], list[bytes], np.nda
     )
     rows.sort(key=lambda r: (r.lang, r.w))
     langs = sorted({r.lang for r in rows})
-    pairs = [(w.encode().translate(LOWER)[:RUN], langs.index(r.lang)) for r in rows for w in r.w if w]
-    return langs, [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
+    found = [(w.encode().translate(LOWER)[:RUN], langs.index(r.lang), i) for i, r in enumerate(rows) for w in r.w if w]
+    return langs, [w for w, _, _ in found], *(np.array([x[k] for x in found], np.int64) for k in (1, 2))
 
 
 def learn(labelled: DataFrame) -> Labeller | None:
     """A labeller from ``labelled (doc_id, text, lang)``; none if there is nothing to learn."""
-    langs, words, labels = _training_words(labelled.filter("lang is not null"))
+    langs, words, labels, of = _training_words(labelled.filter("lang is not null"))
     if not words:
         return None
     labeller = Labeller(langs)
     labeller.train(words, labels)
+    labeller.usual = usual_score(labeller, words, labels, of)
     return labeller
 
 
+def usual_score(labeller: Labeller, words: list[bytes], labels: np.ndarray, of: np.ndarray) -> float:
+    """What 99 of 100 labelled documents reach, in the language where that is least."""
+    least = 1.0
+    for lang in np.unique(labels):
+        at = np.flatnonzero(labels == lang)
+        sums = np.zeros((len(at), len(labeller.langs) + 1))
+        np.add.at(sums, np.unique(of[at], return_inverse=True)[1], labeller.pooled([words[i] for i in at]))
+        sums = sums[sums[:, -1] > 0]
+        if len(sums):
+            least = min(least, float(np.quantile(sums[:, :-1].max(axis=1) / sums[:, -1], 0.01)))
+    return least
+
+
 def identify(docs: DataFrame, labeller: Labeller | None) -> DataFrame:
     """``row`` (all columns of ``docs``), ``lang_pred`` and ``score`` of every row.
 
@@ -216,8 +232,17 @@ def languages(docs: DataFrame, folds: int = 4) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), held_out(doc_id, folds).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, folds: int = 4, least: float = 0.3) -> DataFrame:
-    """``docs`` without those of no language: ``und``, or below ``least`` in score."""
+def known_language(docs: DataFrame, folds: int = 4, least: float = 0.3, share: float = 0.9) -> DataFrame:
+    """``docs`` without those of no language.
+
+    These are texts without a letter, and texts whose score is below ``least`` and below
+    ``share`` of what labelled documents usually reach. That follows the number of
+    languages, how related they are, and how much could be learned. Where nothing was
+    learned only texts without a letter go.
+    """
     labeller = learn(docs.filter(~held_out(F.col("doc_id"), folds)).select("doc_id", "text", "lang"))
+    if labeller is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    least = min(least, share * labeller.usual)
     found = identify(docs, labeller).filter(F.col("lang_pred") != UNKNOWN).filter(F.col("score") >= least)
     return found.select("row.*")

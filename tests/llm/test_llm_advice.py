@@ -6,7 +6,7 @@ import numpy as np
 from cases import documents, words
 
 import corpus_pipeline
-from ligatable.llm import shingle_sets
+from ligatable.llm import byte_langid, shingle_sets
 
 
 def jaccard(a, b):
@@ -53,3 +53,20 @@ def test_bands_find_pairs_at_the_limit():
         keys = [shingle_sets.band_keys(np.unique(np.concatenate((common, x)))) for x in (a, b)]
         met += bool((keys[0] == keys[1]).any())
     assert met >= 396
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    rows = [(i, f"some words of a clean text {i}", None, "a", 1) for i in range(9)] + [(9, "12 34", None, "a", 1), (10, None, None, "a", 1)]
+    docs = documents(spark, rows)
+    kept = byte_langid.known_language(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(9))
+
+
+def test_many_related_languages_do_not_reject_clean_documents(spark):
+    """Ten labels share all words but one, so no label gets 0.3 of a text."""
+    shared = "all of these languages have the very same words in them"
+    rows = [(i, f"{shared} {chr(97 + i % 10) * 6}", f"l{i % 10}", "a", 1) for i in range(200)] + [(900, "1234", "l1", "a", 1)]
+    docs = documents(spark, rows)
+    scores = [r.score for r in byte_langid.languages(docs).collect() if r.doc_id != 900]
+    assert min(scores) < 0.3
+    assert {r.doc_id for r in byte_langid.known_language(docs).collect()} == set(range(200))
