@@ -11,6 +11,10 @@ from ligatable.session import cut_lineage
 LG_K = 12
 #: A line is hot from one in so many places on.
 HOT_SHARE = 1000
+#: A line of so many characters is long, however few runs without white space it has.
+LONG_CHARS = 20
+#: Sites that make a short line boilerplate where short lines are counted: twice the usual number.
+SHORT_SITES = 6
 
 
 def _lines(text: Column) -> Column:
@@ -22,46 +26,60 @@ def _key(*columns: Column | str) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
 
 
-def _counted_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row a line that is long enough: its key, place and site."""
+def _counted_lines(docs: DataFrame, min_words: int, short_sites: int | None) -> DataFrame:
+    """One row a line that is counted: its key, place and site, and whether it is short.
+
+    Without ``short_sites`` lines of fewer than ``min_words`` words are not counted. With
+    it all are, and lines of so few words and fewer than ``LONG_CHARS`` characters are short.
+    """
     d1, d2 = _key("doc_id", "text")
     exploded = docs.select("doc_id", "site", d1.alias("d1"), d2.alias("d2"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(" \t\r"))
     h1, h2 = _key("line")
+    wordy = F.col("line").rlike(rf"^(?:\S+\s+){{{min_words - 1}}}\S")
+    short = F.lit(False) if short_sites is None else ~wordy & (F.length("line") < LONG_CHARS)
     return (
         exploded.withColumn("line", line)
-        .filter(F.col("line").rlike(rf"^(?:\S+\s+){{{min_words - 1}}}\S"))
-        .select("doc_id", "d1", "d2", "pos", "site", h1.alias("h1"), h2.alias("h2"))
+        .filter(wordy if short_sites is None else F.col("line") != "")
+        .select("doc_id", "d1", "d2", "pos", "site", h1.alias("h1"), h2.alias("h2"), short.alias("short"))
     )
 
 
-def boilerplate(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int, min_words: int, short_sites: int | None = None) -> DataFrame:
     """``(h1, h2, first, n)`` of the lines on at least ``min_sites`` distinct sites.
 
+    Short lines, if ``short_sites`` is given, need at least that many.
+
     Each line hash gets a HyperLogLog sketch of its sites; sketches merge by
     aggregation, partly before the shuffle, so a line that a third of all documents
     share costs one row a task. Estimates below half the threshold are dropped and
     those above twice it taken; lines in between get an exact distinct count.
     """
-    lines = _counted_lines(docs, min_words)
+    lines = _counted_lines(docs, min_words, short_sites)
+    least = F.when(F.col("short"), F.lit(short_sites)).otherwise(F.lit(min_sites)).alias("least")
     place = F.struct("doc_id", "d1", "d2", "pos")
     spread = (
         lines.groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
-        .select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").alias("sites"))
-        .filter(F.col("sites") >= min_sites / 2)
+        .agg(
+            F.hll_sketch_agg("site", LG_K).alias("sketch"),
+            F.min(place).alias("first"),
+            F.count("*").alias("n"),
+            F.max("short").alias("short"),
+        )
+        .select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").alias("sites"), least)
+        .filter(F.col("sites") >= F.col("least") / 2)
     )
-    sure = spread.filter(F.col("sites") > 2 * min_sites).select("h1", "h2", "first", "n")
-    near = spread.filter(F.col("sites") <= 2 * min_sites).select("h1", "h2", "first", "n")
+    sure = spread.filter(F.col("sites") > 2 * F.col("least")).select("h1", "h2", "first", "n")
+    near = spread.filter(F.col("sites") <= 2 * F.col("least")).select("h1", "h2", "first", "n", "least")
     exact = (
         lines.select("h1", "h2", "site")
         .distinct()
-        .join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        .groupBy("h1", "h2")
+        .join(near.select("h1", "h2", "least"), ["h1", "h2"])
+        .groupBy("h1", "h2", "least")
         .agg(F.count("*").alias("sites"))
-        .filter(F.col("sites") >= min_sites)
+        .filter(F.col("sites") >= F.col("least"))
     )
-    return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    return sure.unionByName(near.drop("least").join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
 
 
 def _places_to_clear(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -91,12 +109,16 @@ def _places_to_clear(lines: DataFrame, found: DataFrame) -> DataFrame:
     return dealt.join(cold, ["k1", "k2"], "left").filter(~is_first).groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 5) -> DataFrame:
+def without_boilerplate(
+    docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 5, short_sites: int | None = None
+) -> DataFrame:
     """``row`` (all columns), ``text`` (what is left of it), ``n_lines``, ``n_removed``.
 
     ``docs`` needs ``doc_id, text`` and the ``site`` column; null sites are one site. A
     line is compared without leading and trailing blanks. Lines of fewer than
-    ``min_words`` words are never removed. A line on ``min_sites`` distinct sites or more
+    ``min_words`` words are never removed, unless ``short_sites`` is given: then every
+    line that is not empty is counted, one of ``LONG_CHARS`` characters is as good as one
+    of ``min_words`` words, and shorter ones need ``short_sites`` sites. A line on ``min_sites`` distinct sites or more
     stays where it occurs first, by ``doc_id`` (null first) and line number, so that no
     content is lost, and goes everywhere else. Rows that are equal in ``doc_id`` and
     ``text`` are one document to this. A null text stays null and has no lines; a text
@@ -109,7 +131,8 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
         F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"),
     )
     slim = whole.select("doc_id", "text", "site")
-    removed = _places_to_clear(_counted_lines(slim, min_words), boilerplate(slim, min_sites, min_words))
+    found = boilerplate(slim, min_sites, min_words, short_sites)
+    removed = _places_to_clear(_counted_lines(slim, min_words, short_sites), found)
     d1, d2 = _key("doc_id", "text")
     joined = whole.withColumn("d1", d1).withColumn("d2", d2).join(removed, ["d1", "d2"], "left")
     kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("gone", i))

@@ -70,3 +70,14 @@ def test_many_related_languages_do_not_reject_clean_documents(spark):
     scores = [r.score for r in byte_langid.languages(docs).collect() if r.doc_id != 900]
     assert min(scores) < 0.3
     assert {r.doc_id for r in byte_langid.known_language(docs).collect()} == set(range(200))
+
+
+def test_short_lines_and_lines_without_spaces_are_counted_in_the_pipeline(spark, sf_dir):
+    """Long lines in Chinese need three sites, short lines six; shorter spread stays."""
+    chinese, short, rare = "本网站的所有内容均受版权保护未经许可不得以任何形式转载", "All rights reserved.", "Read more"
+    rows = [(i, f"own line number {i}\n{chinese}\n{short}" + (f"\n{rare}" if i < 5 else ""), "zh", f"s{i}", 1) for i in range(8)]
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    left = {r.doc_id: r.text.split("\n") for r in stage(spark, documents(spark, rows), sf_dir).collect()}
+    assert left[0] == rows[0][1].split("\n")
+    for i in range(1, 8):
+        assert left[i] == [f"own line number {i}"] + ([rare] if i < 5 else [])
