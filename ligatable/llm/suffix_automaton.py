@@ -33,7 +33,7 @@ class Automaton:
     words of the items from 1; a word that no item has ends every match.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.ids = window, {}
         self.next, self.link, self.size = [{}], [-1], [0]
         ends = []
@@ -79,8 +79,8 @@ class Automaton:
         """Per state: its class of window-long suffixes, and short items that end there."""
         window, n = self.window, len(self.size)
         self.of_window = [-1] * n
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * n
-        own: dict[int, list[tuple[int, str]]] = {}
+        self.short: list[tuple[tuple[int, str | None], ...]] = [()] * n
+        own: dict[int, list[tuple[int, str | None]]] = {}
         for name, path in ends:
             if path and len(path) < window:
                 own.setdefault(path[-1], []).append((len(path), name))
@@ -89,18 +89,18 @@ class Automaton:
             if self.size[s] >= window:
                 self.of_window[s] = s if self.size[up] < window else self.of_window[up]
             self.short[s] = self.short[up] + tuple(own.get(s, ()))
-        self.items: dict[int, set[str]] = {}
+        self.items: dict[int, set[str | None]] = {}
         for name, path in ends:
             for at in path:
                 if self.of_window[at] >= 0:
                     self.items.setdefault(self.of_window[at], set()).add(name)
 
-    def scan(self, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs of hit words as ``(first, end)``, and the items whose windows occur."""
         codes = np.fromiter(map(self.ids.get, text_words, repeat(0)), np.int64, len(text_words))
         inside = np.flatnonzero(np.diff(np.concatenate(([0], (codes > 0).view(np.int8), [0]))))
         hits: list[list[int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         for first, end in zip(inside[::2].tolist(), inside[1::2].tolist()):
             if end - first >= self.shortest:
                 self._run(codes[first:end].tolist(), first, hits, found)
@@ -112,7 +112,7 @@ class Automaton:
                 merged.append([a, b])
         return [(a, b) for a, b in merged], found
 
-    def _run(self, codes: list[int], first: int, hits: list[list[int]], found: set[str]) -> None:
+    def _run(self, codes: list[int], first: int, hits: list[list[int]], found: set[str | None]) -> None:
         follow, link, size, window = self.next, self.link, self.size, self.window
         state = length = 0
         for i, c in enumerate(codes, first + 1):
@@ -133,23 +133,31 @@ class Automaton:
 def automata(items: DataFrame, window: int, most: int = AUTOMATON_WORDS) -> list[Automaton]:
     """One automaton for every ``most`` words of ``items (item_id, text)``, at least one.
 
-    The items come to the driver partition by partition. A task holds one automaton at a
-    time. Null and wordless items have no windows; rows that repeat an item change nothing.
+    Texts come to the driver once each, with all their ids, partition by partition. A task
+    holds one automaton at a time. Null and wordless items have no windows; rows that repeat
+    an item change nothing. Items without id have windows like others, and one name, null.
     """
-    parts: list[list[tuple[str, list[bytes]]]] = [[]]
+    parts: list[list[tuple[str | None, list[bytes]]]] = [[]]
     held = 0
     rows = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
-    for row in rows.filter("name is not null and text is not null").toLocalIterator():
+    # collect_set leaves nulls out, so names are wrapped
+    texts = rows.filter("text is not null").groupBy("text").agg(F.collect_set(F.struct("name")).alias("names"))
+    for row in texts.toLocalIterator():
         item = words(row.text.encode())
         if item and held and held + len(item) > most:
             parts.append([])
             held = 0
         if item:
-            parts[-1].append((row.name, item))
+            parts[-1].extend((r.name, item) for r in row.names)
             held += len(item)
     return [Automaton(part, window) for part in parts]
 
 
+def _in_order(names: set[str | None]) -> list[str | None]:
+    """Sorted as strings, null first."""
+    return sorted(names, key=lambda n: (n is not None, n or ""))
+
+
 def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -181,7 +189,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, keep: bo
     match that ends at each word; words inside an occurring window are hit.
 
     Returns ``doc_id, n_words, n_hit, items`` (ids with occurring windows, sorted as
-    strings), and with ``keep`` also ``cleaned`` (the text without each hit span) and
+    strings, null for items without id), and with ``keep`` also ``cleaned`` (the text without each hit span) and
     ``row`` (all columns but the text). Rows stand alone: repeated rows, null ids and
     extra columns come back; a null text has no words. Without items nothing is hit.
     Items beyond ``AUTOMATON_WORDS`` words make further passes over written rows.
@@ -205,7 +213,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, keep: bo
     return carried.mapInArrow(_summing(tools[-1], keep), schema)
 
 
-def _scan(automaton: Automaton, piece: pa.RecordBatch) -> Iterator[tuple[bytes, int, list[tuple[int, int]], set[str]]]:
+def _scan(automaton: Automaton, piece: pa.RecordBatch) -> Iterator[tuple[bytes, int, list[tuple[int, int]], set[str | None]]]:
     """Text, words, hit spans and items of each row, with what earlier passes found."""
     spans, items = piece.column("spans").to_pylist(), piece.column("items").to_pylist()
     for text, before, names in zip(utf8(piece.column("text")), spans, items):
@@ -224,7 +232,7 @@ def _marking(automaton: Automaton, columns: list[str]) -> Callable[[Iterator[pa.
             found = list(_scan(automaton, piece))
             new = {
                 "spans": pa.array([[x for ab in hits for x in ab] for _, _, hits, _ in found], pa.list_(pa.int32())),
-                "items": pa.array([sorted(names) for _, _, _, names in found], pa.list_(pa.string())),
+                "items": pa.array([_in_order(names) for _, _, _, names in found], pa.list_(pa.string())),
             }
             yield pa.RecordBatch.from_arrays([new.get(c, piece.column(c)) for c in columns], columns)
 
@@ -241,7 +249,7 @@ def _summing(automaton: Automaton, keep: bool) -> Callable[[Iterator[pa.RecordBa
                 "doc_id": piece.column("doc_id"),
                 "n_words": pa.array([n for _, n, _, _ in found], pa.int64()),
                 "n_hit": pa.array([sum(b - a for a, b in hits) for _, _, hits, _ in found], pa.int64()),
-                "items": pa.array([sorted(names) for _, _, _, names in found], pa.list_(pa.string())),
+                "items": pa.array([_in_order(names) for _, _, _, names in found], pa.list_(pa.string())),
             }
             if keep:
                 # a text without hits comes back as it is, null included

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 from cases import documents, words
+from compare import differences, open_tables
 
 import corpus_pipeline
-from ligatable.llm import byte_langid, shingle_sets
+from ligatable.llm import byte_langid, oracles, queries, shingle_sets
 
 
 def jaccard(a, b):
@@ -81,3 +82,17 @@ def test_short_lines_and_lines_without_spaces_are_counted_in_the_pipeline(spark,
     assert left[0] == rows[0][1].split("\n")
     for i in range(1, 8):
         assert left[i] == [f"own line number {i}"] + ([rare] if i < 5 else [])
+
+
+def test_items_without_id_are_hit_as_in_sql(spark, sf_dir, tmp_path):
+    """Benchmark rows without id, and repeated texts under several ids or none."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    again = items.selectExpr("if(item_id % 2 = 0, null, item_id) item_id", "text")
+    more = again.unionByName(items.filter("item_id % 3 = 0").selectExpr("item_id + 1000000 item_id", "text"))
+    assert more.filter("item_id is null").count() > 3
+    more.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    con = open_tables(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    got = queries.op9_decontamination(spark, str(tmp_path))
+    assert differences(got, con, oracles.OP9) == []
