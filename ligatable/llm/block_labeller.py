@@ -44,13 +44,19 @@ OTHER_WORDS = re.compile(
     re.I,
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">]){0,2000}+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup; an unclosed one runs to the end of the page.
+RAW_TAGS = frozenset("script style title textarea".split())
+#: Elements that are not shown, from tag to tag.
+HIDDEN_TAGS = frozenset("noscript template iframe svg object".split())
+#: HTML that ends an open drawing, as drawings cannot hold it.
+ENDS_SVG = BLOCK_TAGS - {"a", "button", "caption", "option", "search", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
+
+START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+#: The same, where a quote is never closed.
+PLAIN_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<rest>[^>]*+)>", re.S)
+#: Quotes never closed after which a page's tags are read without regard to quotes, to stay linear.
+BROKEN_QUOTES = 32
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -73,6 +79,8 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     in_link: bool = False
+    #: The first open element that is not shown.
+    hidden: int | None = None
 
     def flush(self) -> None:
         text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
@@ -81,6 +89,8 @@ class _Reader:
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
+        if self.hidden is not None:
+            return
         self.parts.append(raw)
         if self.in_link:
             self.linked += len(raw)
@@ -89,9 +99,43 @@ class _Reader:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
+                if self.hidden is not None and self.hidden >= i:
+                    self.hidden = None
                 return
 
+    def in_svg(self) -> bool:
+        return next((t for t, _ in reversed(self.open) if t in ("svg", "foreignobject", "template")), "") == "svg"
+
+    def hide(self, name: str, closing: bool, empty: bool) -> None:
+        """An element that is not shown opens or closes; paragraphs around it go on."""
+        if closing:
+            self._close(name)
+        elif not empty:
+            if self.hidden is None:
+                self.hidden = len(self.open)
+            self.open.append((name, ()))
+
+    def _tag_in_hidden(self, name: str, closing: bool, empty: bool) -> bool:
+        """Notes a tag inside of what is not shown; false if the tag ends that."""
+        if not closing and name in ENDS_SVG and self.in_svg():
+            self._close("svg")
+            return self.hidden is not None
+        if name not in BLOCK_TAGS and name != "foreignobject":
+            return True
+        at = max((i for i, (t, _) in enumerate(self.open) if t == name), default=-1)
+        if closing:
+            if 0 <= at < self.hidden:
+                del self.open[self.hidden :]
+                self.hidden = None
+                return False
+            self._close(name)
+        elif name not in VOID_TAGS and not empty:
+            self.open.append((name, ()))
+        return True
+
     def tag(self, name: str, closing: bool, attributes: str) -> None:
+        if self.hidden is not None and self._tag_in_hidden(name, closing, attributes.endswith("/")):
+            return
         if name == "a":
             self.in_link = not closing
         elif name == "br":
@@ -111,15 +155,65 @@ class _Reader:
                 self.open.append((name, (name, *(f".{n}" for n in named))))
 
 
+def _last_close(page: str, name: str) -> int:
+    return max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
+
+
+def _token(page: str, at: int, quoted: bool) -> tuple[int, int, re.Match | None, bool] | None:
+    """First and end of the next tag, with its match, or comment, and whether its quotes are closed."""
+    m = START.search(page, at)
+    if not m:
+        return None
+    first = m.start()
+    if m[0] == "<!--":
+        end = page.find("-->", first + 4)
+        return first, len(page) if end < 0 else end + 3, None, True
+    end = page.find(">", first) + 1
+    if not end:
+        # no tag ends any more; only a comment can follow
+        comment = page.find("<!--", first)
+        return None if comment < 0 else (comment, len(page), None, True)
+    if not m[0][-1].isalpha():
+        return first, end, None, True
+    tag = TAG.match(page, first) if quoted else None
+    closed = tag is not None
+    tag = tag or PLAIN_TAG.match(page, first)
+    return first, tag.end(), tag, closed
+
+
 def page_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; markup, comments, scripts and the head's title are none."""
-    reader, last = _Reader(), 0
-    for m in TOKEN.finditer(page):
-        if m.start() > last:
-            reader.text(page[last : m.start()])
-        last = m.end()
-        if m["tag"]:
-            reader.tag(m["tag"].lower(), bool(m["close"]), m["rest"])
+    """The blocks of a page in order; markup, comments, scripts and the head's title are none.
+
+    Scripts, styles, titles and text areas hold no markup and run to the page's end if
+    not closed. Drawings, objects, templates, frames and ``noscript`` end with their
+    own end tag or with that of an element around them; those that are closed in
+    their own tag, or never closed behind it, are empty.
+    """
+    reader, last, broken = _Reader(), 0, 0
+    closes: dict[str, int] = {}
+    while token := _token(page, last, broken < BROKEN_QUOTES):
+        first, end, m, closed = token
+        broken += not closed
+        if first > last:
+            reader.text(page[last:first])
+        last = end
+        if not m:
+            continue
+        name, closing, rest = m["tag"].lower(), bool(m["close"]), m["rest"]
+        # a name goes on until white space, a slash or the end of the tag
+        whole = not rest or rest[0] in "/ \t\n\r\f"
+        if whole and name in RAW_TAGS and not closing:
+            if rest.endswith("/") and reader.in_svg():
+                continue
+            behind = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, last)
+            last = behind.end() if behind else len(page)
+        elif whole and name in HIDDEN_TAGS:
+            if name not in closes:
+                closes[name] = _last_close(page, name)
+            empty = closes[name] < last or (name in ("svg", "object") and rest.endswith("/"))
+            reader.hide(name, closing, empty)
+        elif whole:
+            reader.tag(name, closing, rest)
     reader.text(page[last:])
     reader.flush()
     return reader.blocks

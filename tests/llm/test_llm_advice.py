@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from cases import documents, words
 from compare import differences, open_tables
 
 import corpus_pipeline
-from ligatable.llm import byte_langid, oracles, queries, shingle_sets
+from ligatable.llm import block_labeller, byte_langid, oracles, queries, shingle_sets
 
 
 def jaccard(a, b):
@@ -96,3 +97,34 @@ def test_items_without_id_are_hit_as_in_sql(spark, sf_dir, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
     got = queries.op9_decontamination(spark, str(tmp_path))
     assert differences(got, con, oracles.OP9) == []
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<svg class='i'/>",
+        "<object data='x' />",
+        "<svg-icon></svg-icon>",
+        "<title-bar></title-bar>",
+        "<template-x>",
+        "<svg viewBox='0 0 1 1'>",
+        "<object data='y'>",
+        "<iframe src='z'>",
+        "<svg><title/><style/><path d='M0 0'/><text>no</text></svg>",
+        "<svg><g><svg><text>no</text></svg><text>no</text></g></svg>",
+        "<template><div><p>no</p></div></template>",
+        "<noscript>no<img src=x></noscript>",
+        "<img src=data:image/png;base64," + "A" * 5000 + ">",
+        "<img alt=" + "\"a\" b='c' " * 3000 + ">",
+        "<script>var a = '</p>no';</script >",
+    ],
+    ids=range(15),
+)
+def test_markup_swallows_no_text(markup):
+    page = f"<body><article><p>a {markup}b</p><p>rest of article</p></article><div>after</div></body>"
+    assert [b.text.replace(" ", "") for b in block_labeller.page_blocks(page)] == ["ab", "restofarticle", "after"]
+
+
+def test_unclosed_elements_end_with_their_parent():
+    page = "<div><p>one <object>no</p></div><p>two</p><svg>no<p>three</p></svg><object>no</object><script>no</p><p>no"
+    assert [b.text for b in block_labeller.page_blocks(page)] == ["one", "two", "three"]
