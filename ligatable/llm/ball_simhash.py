@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ligatable.llm.common import LOWER, pieces, rows_out, small_batches, utf8
 from ligatable.llm.components import connected_components
-from ligatable.session import cut_lineage
+from ligatable.session import cut_lineage, staging_path
 
 SEED = 42
 RADIUS = 3
@@ -120,6 +120,14 @@ def ball_links(prints: DataFrame) -> DataFrame:
     return met.filter("fp <> centre").filter(close).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
+def component_labels(nodes: DataFrame, blocks: int) -> DataFrame:
+    """Add ``label``, the smallest ``fp`` of the component, to ``nodes`` with distinct ``fp``."""
+    labels = connected_components(ball_links(crowded(nodes.select("fp"), blocks)))
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "label", F.coalesce("label", "fp")
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 6) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs (doc_id, text)``.
 
@@ -136,11 +144,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 6) -> DataFra
     """
     prints = cut_lineage(fingerprints(docs, width))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = ball_links(crowded(nodes.select("fp"), blocks))
-    labels = connected_components(links)
-    labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp")
-    )
+    labelled = component_labels(nodes, blocks)
     names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "label").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -148,16 +152,36 @@ def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 6) -> DataFra
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3, blocks: int = 6) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
+def one_per_component(docs: DataFrame, width: int = 3, blocks: int = 6) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``, whatever its ids.
 
-    Rows without id cannot be named and stay. Of rows that share an id one stays, the
-    one with the smallest text. All columns come back, whatever their names.
+    The row with the smallest ``doc_id`` stays, ties to the smaller hash of the text; rows
+    without id come last. Copies without id, and an id that stands on several texts, are
+    thus treated by text. All columns come back, whatever their names. No documents give
+    no rows.
+
+    Rows are numbered in a written copy, so that the last join meets on unique numbers and
+    no group of copies meets in one task; only it moves whole rows.
     """
-    members = near_duplicates(docs, width, blocks)
-    chosen = members.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row"))
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = rows.join(chosen, "doc_id", "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    kept = named.select("row").unionByName(rows.filter("doc_id is null").select("row"))
-    return kept.select("row.*")
+    spark = docs.sparkSession
+    path = staging_path(spark, "numbered")
+    docs.select(
+        F.monotonically_increasing_id().alias("at"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("h"),
+        F.struct("*").alias("row"),
+    ).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    prints = cut_lineage(fingerprints(numbered.select(F.col("at").alias("doc_id"), "row.text"), width))
+    nodes = cut_lineage(prints.select("fp").distinct())
+    # nulls are the smallest in Spark's order, so the flag goes in front
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "at")).alias("first")
+    chosen = (
+        prints.withColumnRenamed("doc_id", "at")
+        .join(component_labels(nodes, blocks), "fp")
+        .join(numbered.select("at", "doc_id", "h"), "at")
+        .groupBy("label")
+        .agg(first)
+        .select("first.at")
+    )
+    return numbered.join(chosen, "at", "left_semi").select("row.*")

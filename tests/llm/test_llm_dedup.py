@@ -107,16 +107,25 @@ def test_simhash_cases(spark):
     assert of[1].component_id == 1
     same = [r for r in rows if r.fingerprint == of[1].fingerprint]
     assert {r.component_id for r in same} == {1} and len(same) == 3
-    kept = ball_simhash.one_of_each(documents(spark))
+    kept = ball_simhash.one_per_component(documents(spark))
     assert kept.columns == documents(spark).columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids.count(1) == 1 and len(ids) == len(set(ids)) and 2 in ids and 3 not in ids
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    left = kept.collect()
+    assert sorted(r.doc_id for r in left) == sorted({r.component_id for r in rows})
+    assert len({(r.doc_id, r.text) for r in left}) == len(left)
+
+
+def test_a_component_keeps_one_row_whatever_its_ids(spark):
+    """An id on two texts, copies under other ids, copies without any, and repeated rows."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "xyz")
+    rows = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, two, "en", "b", 1), (3, one, "en", "b", 1)]
+    rows += [(None, three, "en", f"s{i}", 1) for i in range(5)] + [(None, one, "en", "c", 1)] + [(5, "", "en", "a", 0)] * 3
+    kept = ball_simhash.one_per_component(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, three), (1, one), (1, two), (5, "")]
 
 
 def test_simhash_without_documents(spark):
     assert ball_simhash.near_duplicates(documents(spark, [])).count() == 0
-    assert ball_simhash.one_of_each(documents(spark, [])).count() == 0
+    assert ball_simhash.one_per_component(documents(spark, [])).count() == 0
 
 
 FIRST, OTHER = "one two three four five six", "seven eight nine ten eleven twelve"
