@@ -76,7 +76,7 @@ found AS (
   FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM places) p JOIN grams g ON p.n = g.n AND p.g = g.g),
 hit AS (SELECT doc_id, COUNT(DISTINCT k) AS n_hit FROM (SELECT doc_id, UNNEST(RANGE(i, i + n)) AS k FROM found) GROUP BY doc_id),
 named AS (
-  SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(name, ',' ORDER BY name) AS names
+  SELECT doc_id, COUNT(name) AS n_items, STRING_AGG(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(LEN(d.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(names, '')) AS items_sha256,

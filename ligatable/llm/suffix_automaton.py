@@ -264,13 +264,17 @@ def _summing(automaton: Automaton, keep: bool) -> Callable[[Iterator[pa.RecordBa
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: counts, the number of items that occur, and a digest of their ids."""
-    ids = F.array_join("items", ",")
+    """Per document: counts, the number of item ids that occur, and a digest of them.
+
+    Items without id make hits like others; having no id, they are neither counted nor listed.
+    """
+    named = F.array_compact("items")
+    ids = F.array_join(named, ",")
     return scan_documents(docs, items, window).select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        F.size(named).cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
