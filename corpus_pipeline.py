@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligatable.llm import byte_langid, line_spread, mixing, shingle_sets, suffix_automaton
+from ligatable.llm import ball_simhash, byte_langid, line_spread, mixing, suffix_automaton
 from ligatable.llm.common import read
-from ligatable.session import staging_path
+from ligatable.session import drop_staged, staging_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words at 0.8 or more."""
-    return shingle_sets.one_of_each(docs)
+    """One document of each group whose SimHash fingerprints link at three or fewer bits."""
+    return ball_simhash.one_per_component(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +42,22 @@ STAGES = [
     ("source_mix", mix),
 ]
 
-#: The first stage is a trained network and the third compares hashed sets: no SQL.
+#: The first stage is a trained network and the third meets variants of fingerprints: no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again by the next.
+
+    What a stage has read goes when its result is written; the table that the returned
+    rows are read from stays.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = staging_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_staged(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
