@@ -1,38 +1,11 @@
 """What the second round of advice found missing."""
 
-import random
-
-import numpy as np
 import pytest
-from cases import documents, words
+from cases import documents
 from compare import differences, open_tables
 
 import corpus_pipeline
-from ligatable.llm import block_labeller, byte_langid, oracles, queries, shingle_sets
-
-
-def jaccard(a, b):
-    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(a), words(b)))
-    return len(one & two) / len(one | two)
-
-
-def test_edited_copies_do_not_stay(spark, sf_dir):
-    """Copies with replaced words, at 0.8 and more, go; texts below that stay."""
-    rng = random.Random(3)
-    rows, lost, similar = [], [], 0
-    for i in range(60):
-        text = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        rows.append((i, " ".join(text), "en", "a", 1))
-        edited = list(text)
-        for at in rng.sample(range(300), rng.randrange(1, 10)):
-            edited[at] = f"new{rng.randrange(10**6)}"
-        rows.append((1000 + i, " ".join(edited), "en", "b", 1))
-        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
-            similar += 1
-            lost.append(1000 + i)
-    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
-    kept = {r.doc_id for r in stage(spark, documents(spark, rows), sf_dir).collect()}
-    assert similar > 25 and kept == {r[0] for r in rows} - set(lost)
+from ligatable.llm import block_labeller, byte_langid, oracles, queries
 
 
 def test_every_group_keeps_one_row_whatever_its_ids(spark, sf_dir):
@@ -47,16 +20,6 @@ def test_every_group_keeps_one_row_whatever_its_ids(spark, sf_dir):
     assert stage(spark, documents(spark, []), sf_dir).count() == 0
 
 
-def test_bands_find_pairs_at_the_limit():
-    draw = np.random.default_rng(1)
-    met = 0
-    for _ in range(400):
-        common, a, b = (draw.integers(0, 2**63, n, dtype=np.uint64) for n in (160, 20, 20))
-        keys = [shingle_sets.band_keys(np.unique(np.concatenate((common, x)))) for x in (a, b)]
-        met += bool((keys[0] == keys[1]).any())
-    assert met >= 396
-
-
 def test_documents_stay_where_no_language_was_learned(spark):
     rows = [(i, f"some words of a clean text {i}", None, "a", 1) for i in range(9)] + [(9, "12 34", None, "a", 1), (10, None, None, "a", 1)]
     docs = documents(spark, rows)
