@@ -84,6 +84,33 @@ SELECT d.doc_id, CAST(LEN(d.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+#: Every rule against every address; the patterns as one expression.
+OP13 = r"""
+WITH rules(rule, verdict) AS (
+  VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+split AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS host, substr(rule, strpos(rule, '/')) AS path FROM rules),
+parts AS (
+  SELECT page_id, url,
+         translate(COALESCE(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         COALESCE(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         translate(COALESCE(regexp_extract(url, '://([^#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS whole
+  FROM pages),
+best AS (
+  SELECT DISTINCT p.host, p.path, FIRST(struct_pack(rule := r.rule, verdict := r.verdict)) OVER (
+           PARTITION BY p.host, p.path ORDER BY LEN(r.rule) DESC) AS best
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN split r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, parts.host, parts.path, best.rule AS rule,
+       CASE WHEN best.rule IS NOT NULL THEN best.verdict
+            WHEN regexp_matches(whole, '(?s)/wp-login\.|/wp-admin/|/(login|logout|signin|signup|register|cart|checkout|search)([^a-z0-9_.%-]|$)'
+                 || '|/calendar/.*/day/|\?replytocom=|[^a-z0-9_.%-](phpsessid|sessionid)=|^([^/?]*\.)?(ads|adserver)\.'
+                 || '|[^a-z0-9_.%-](casino|porn|viagra|xxx)([^a-z0-9_.%-]|$)')
+                 AND NOT regexp_matches(whole, '/search/help([^a-z0-9_.%-]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op5_line_spread": OP5, "op7_source_mix": OP7, "op9_decontamination": OP9}
+    return {"op5_line_spread": OP5, "op7_source_mix": OP7, "op9_decontamination": OP9, "op13_url_filter": OP13}

@@ -18,6 +18,7 @@ from ligatable.llm import (
     quality,
     suffix_automaton,
     token_counts,
+    url_rules,
 )
 from ligatable.llm.common import read
 
@@ -79,6 +80,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labeller.main_text(read(spark, sf_dir, "pages"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(read(spark, sf_dir, "pages"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_sample": op1_importance_sample,
@@ -91,4 +96,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_main_text": op10_main_text,
+        "op13_url_filter": op13_url_filter,
     }
