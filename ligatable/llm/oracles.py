@@ -84,6 +84,38 @@ SELECT d.doc_id, CAST(LEN(d.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+#: All runs of one to five words, counted as text.
+OP12 = r"""
+WITH split AS (
+  SELECT COALESCE(lang, 'und') AS lang, UNNEST(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+places AS (
+  SELECT lang, w, k, UNNEST(RANGE(1, LEN(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE LEN(w) >= k),
+counts AS (
+  SELECT lang, k, phrase, COUNT(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places) GROUP BY ALL),
+sizes AS (SELECT lang, SUM(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+inner_runs AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, MAX(f) AS f
+  FROM (SELECT lang, w, f, m, UNNEST(RANGE(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3), (4)) AS s(m) WHERE m < k) GROUP BY ALL),
+left_over AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_runs i USING (lang, phrase) WHERE i.f IS NULL OR 100 * i.f < 100 * c.f),
+cuts AS (
+  SELECT lang, k, phrase, f, j, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:k], ' ') AS rest
+  FROM (SELECT *, UNNEST(RANGE(1, k)) AS j FROM left_over)),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, n,
+         (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest),
+lowest AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM scored),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 #: Every rule against every address; the patterns as one expression.
 OP13 = r"""
 WITH rules(rule, verdict) AS (
@@ -113,4 +145,10 @@ FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
 
 
 def all_sql() -> dict[str, str]:
-    return {"op5_line_spread": OP5, "op7_source_mix": OP7, "op9_decontamination": OP9, "op13_url_filter": OP13}
+    return {
+        "op5_line_spread": OP5,
+        "op7_source_mix": OP7,
+        "op9_decontamination": OP9,
+        "op12_collocations": OP12,
+        "op13_url_filter": OP13,
+    }

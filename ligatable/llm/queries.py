@@ -15,6 +15,7 @@ from ligatable.llm import (
     line_spread,
     mixing,
     permutation_index,
+    phrases,
     quality,
     suffix_automaton,
     token_counts,
@@ -80,6 +81,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labeller.main_text(read(spark, sf_dir, "pages"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(read(spark, sf_dir, "pages"))
 
@@ -96,5 +101,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_main_text": op10_main_text,
+        "op12_collocations": op12_collocations,
         "op13_url_filter": op13_url_filter,
     }
