@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligatable.llm import (
+    alignment,
     ball_simhash,
     block_labeller,
     byte_langid,
@@ -24,6 +25,7 @@ from ligatable.llm import (
 from ligatable.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -81,6 +83,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labeller.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return alignment.aligned_documents(documents, tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
@@ -101,6 +108,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_main_text": op10_main_text,
+        "op11_token_alignment": op11_token_alignment,
         "op12_collocations": op12_collocations,
         "op13_url_filter": op13_url_filter,
     }
