@@ -25,10 +25,10 @@ MARK = b"."
 FOLDED = bytes(MARK[0] if b in PIECE_ENDS else 0x20 if b == 0x09 else LOWER[b] for b in range(256))
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text that a block of the relation holds before it is closed at the end of a piece.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose words are held as Python objects at once.
 CHUNK_BYTES = 1 << 20
-#: A block's number is that of the task, shifted, plus its place; a group's is the block's, shifted, plus its place.
+#: A block's number is that of the task, shifted, plus its place; a group's code is the block's, shifted, plus its place.
 BLOCK_BITS, GROUP_BITS = 12, 31
 #: Rows of an Arrow batch of groups.
 GROUP_ROWS = 1 << 18
@@ -50,17 +50,17 @@ RELATION = pa.schema(
 DDL = "block long, places binary, groups binary, idx int, n long, lang string, word string, a long, b long"
 
 
-def _packed(values: np.ndarray, kind: type) -> bytes:
-    return zstandard.compress(values.astype(kind).tobytes(), 1)
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype(np.uint32).tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint32)
 
 
 def occurrence_batch(block: int, places: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
     """One row: places ascending, as steps from one to the next, and the group at each."""
-    columns = {"block": [block], "places": [_packed(np.diff(places, prepend=0), np.uint32)], "groups": [_packed(groups, np.uint32)]}
+    columns = {"block": [block], "places": [_packed(np.diff(places, prepend=0))], "groups": [_packed(groups)]}
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None]), f.type) for f in RELATION], schema=RELATION)
 
 
@@ -155,23 +155,24 @@ def extended(places: np.ndarray, groups: np.ndarray, idx: np.ndarray, ids: np.nd
     """
     if not len(idx):
         return (np.empty(0, np.int64),) * 5
-    order = np.argsort(idx)
-    at = np.minimum(np.searchsorted(idx, groups, sorter=order), len(idx) - 1)
-    frequent = idx[order][at] == groups
-    places, local = places[frequent], at[frequent]
+    number = np.full(int(groups.max(initial=0)) + 1, -1, np.int32)
+    number[idx] = np.arange(len(idx))
+    local = number[groups]
+    frequent = local >= 0
+    places, local = places[frequent], local[frequent]
     next_to = np.flatnonzero(np.diff(places) == 1)
-    pairs, found, counts = np.unique(local[next_to] * len(idx) + local[next_to + 1], return_inverse=True, return_counts=True)
-    named = ids[order]
-    return places[next_to], found, named[pairs // len(idx)], named[pairs % len(idx)], counts
+    pairs = local[next_to] * np.int64(len(idx)) + local[next_to + 1]
+    pairs, found, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+    return places[next_to], found, ids[pairs // len(idx)], ids[pairs % len(idx)], counts
 
 
 def _extend(key: tuple, occurrences: pa.Table, frequent: pa.Table) -> pa.Table:
     """The next relation of one block; several pieces of a block do not occur."""
     batches: list[pa.RecordBatch] = []
     for row in occurrences.to_pylist():
-        places, groups = np.cumsum(_unpacked(row["places"], np.uint32)), _unpacked(row["groups"], np.uint32)
-        idx = frequent.column("idx").to_numpy().astype(np.int64)
-        places, groups, a, b, counts = extended(places, groups, idx, frequent.column("id").to_numpy())
+        places, groups = np.cumsum(_unpacked(row["places"]), dtype=np.int64), _unpacked(row["groups"])
+        idx, ids = (frequent.column(c).to_numpy() for c in ("idx", "id"))
+        places, groups, a, b, counts = extended(places, groups, idx, ids)
         if len(places):
             batches.append(occurrence_batch(row["block"], places, groups))
             batches += group_batches(row["block"], counts, a=a, b=b)
@@ -182,21 +183,26 @@ def _frequent(relation: DataFrame, keys: list[str], min_count: int) -> DataFrame
     """The group rows of groups with ``min_count`` occurrences, with their ``f`` and ``id``.
 
     A block has one row per group, so groups are counted, and found again in their blocks, with
-    one shuffle; a group's rows are at most as many as blocks. The smallest place names it.
+    one shuffle; a group's rows are at most as many as blocks. A group's first row names it.
     """
     of_group = Window.partitionBy(*keys)
     code = F.shiftleft("block", GROUP_BITS) + F.col("idx")
-    counted = (
-        relation.filter("places is null")
-        .select("block", "idx", "n", *keys, code.alias("code"))
-        .withColumns({"f": F.sum("n").over(of_group), "id": F.min("code").over(of_group)})
+    counted = relation.filter("places is null").select("n", *keys, code.alias("code"))
+    # rows of a group lie in one partition, and all that is read later is this written copy
+    named = (
+        counted.withColumn("f", F.sum("n").over(of_group))
+        .filter(F.col("f") >= min_count)
+        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("id", F.min("row").over(of_group))
     )
-    return cut_lineage(counted.filter(F.col("f") >= min_count).drop("n"))
+    block = F.shiftright("code", GROUP_BITS).alias("block")
+    idx = F.col("code").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).alias("idx")
+    return cut_lineage(named.select(block, idx, "id", (F.col("row") == F.col("id")).alias("is_first"), "f", *keys))
 
 
 def _words(frequent: DataFrame) -> DataFrame:
     """Phrases of one word; ``firsts`` and ``lasts`` hold the counts of their parts by length."""
-    one = frequent.filter("code = id")
+    one = frequent.filter("is_first")
     return one.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f").withColumns(
         {"firsts": F.array("f"), "lasts": F.array("f"), "a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}
     )
@@ -206,7 +212,7 @@ def _longer(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases one word longer, from those of their first and their last words."""
     first = shorter.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("start"), F.col("firsts").alias("start_firsts"))
     second = shorter.select(F.col("id").alias("b"), "last", F.col("lasts").alias("end_lasts"))
-    joined = frequent.filter("code = id").select("id", "a", "b", "f").join(first, "a").join(second, "b")
+    joined = frequent.filter("is_first").select("id", "a", "b", "f").join(first, "a").join(second, "b")
     return joined.select(
         "id",
         "lang",
