@@ -107,6 +107,12 @@ def integrated_pairs(normalized: DataFrame, sources: Sequence[AffinitySource] =
     fixed width, which keeps the hash aggregate with its map-side combine; names
     are put back once per pair.
     """
+    means = {c: F.avg(c) for c in ("NormalizedScore", "AffinityScore")}
+    return _paired(normalized, means, F.count(F.lit(1)), sources)
+
+
+def _paired(rows: DataFrame, means: dict[str, Column], evidence: Column, sources: Sequence[AffinitySource]) -> DataFrame:
+    """``rows`` with ``Source`` grouped by pair: the given aggregates, type, sources and their number."""
     blocks = [list(sources)[i : i + BITS] for i in range(0, len(sources), BITS)]
     number = F.col("_number")
 
@@ -118,14 +124,13 @@ def integrated_pairs(normalized: DataFrame, sources: Sequence[AffinitySource] =
 
     masks = {f"_mask{b}": mask(b) for b in range(len(blocks))}
     paired = (
-        normalized.withColumn("_number", _source_number(sources))
+        rows.withColumn("_number", _source_number(sources))
         .groupBy("DrugID", "TargetID")
         .agg(
-            F.avg("NormalizedScore").alias("NormalizedScore"),
-            F.avg("AffinityScore").alias("AffinityScore"),
+            *(mean.alias(name) for name, mean in means.items()),
             F.min("_number").alias("_first"),
             *(m.alias(name) for name, m in masks.items()),
-            F.count(F.lit(1)).alias("EvidenceRows"),
+            evidence.alias("EvidenceRows"),
         )
     )
     types = F.array(*(F.lit(s.affinity_type) for s in sources))
@@ -147,6 +152,43 @@ def integrated_pairs(normalized: DataFrame, sources: Sequence[AffinitySource] =
     )
 
 
+def partial_scores(scored: DataFrame) -> DataFrame:
+    """One row per pair and source: the sum, number and extremes of its affinity scores.
+
+    All that integration needs of a source's rows. Scaling is affine in each source, so a mean
+    of scaled scores follows from the sum and the number, whatever the extremes become later.
+    """
+    score = F.col("AffinityScore")
+    return scored.groupBy("DrugID", "TargetID", "Source").agg(
+        F.sum(score).alias("Total"), F.count(score).alias("Rows"), F.min(score).alias("Low"), F.max(score).alias("High")
+    )
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """Rows of several loads added up: one per pair and source."""
+    return partials.groupBy("DrugID", "TargetID", "Source").agg(
+        F.sum("Total").alias("Total"), F.sum("Rows").alias("Rows"), F.min("Low").alias("Low"), F.max("High").alias("High")
+    )
+
+
+def pairs_of_partials(partials: DataFrame, sources: Sequence[AffinitySource] = SOURCES) -> DataFrame:
+    """``integrated_pairs`` of all rows behind ``partials``, which may hold several loads.
+
+    Extremes come from the partial rows, one broadcast row per registered source. Means agree
+    with those of the rows but for rounding in the last digits.
+    """
+    extremes = (
+        partials.filter(F.col("Source").isin(source_names(sources)))
+        .groupBy("Source")
+        .agg(F.min("Low").alias("_low"), F.max("High").alias("_high"))
+    )
+    # a sum of scaled scores: the scaled mean, times their number
+    scaled = scores.minmax_scaled(F.col("Total") / F.col("Rows"), F.col("_low"), F.col("_high")) * F.col("Rows")
+    rows = partials.join(F.broadcast(extremes), "Source", "left").withColumn("_scaled", scaled)
+    means = {name: F.sum(total) / F.sum("Rows") for name, total in (("NormalizedScore", "_scaled"), ("AffinityScore", "Total"))}
+    return _paired(rows, means, F.sum("Rows"), sources)
+
+
 def dedup_report(pairs: DataFrame) -> DataFrame:
     """Rows before and pairs after integration, in one pass over the pairs."""
     return pairs.agg(

@@ -21,6 +21,32 @@ def measured_recommendations(pairs: DataFrame, k: int = TOP_DRUGS) -> DataFrame:
     return topk_drugs(pairs.select("TargetID", "DrugID", F.col("NormalizedScore").alias("score")), k)
 
 
+def measured_evidence(nested: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The recommended drugs that are measured on their target, with rank, score and evidence.
+
+    Both tables meet on the target alone, so where they are stored in equal buckets of it
+    nothing is moved; the drug is then looked up in the few entries of the target.
+    """
+    entries = F.transform(
+        "recommendations", lambda r: F.struct((-r["score"]).alias("o"), r["DrugID"].alias("d"), r["score"].alias("s"))
+    )
+    in_order = nested.select("TargetID", F.array_sort(entries).alias("_in_order"))
+    rank = F.array_position(F.transform("_in_order", lambda r: r["d"]), F.col("DrugID"))
+    return (
+        pairs.join(in_order, "TargetID")
+        .withColumn("Rank", rank.cast("int"))
+        .filter(F.col("Rank") > 0)
+        .select(
+            "TargetID",
+            "Rank",
+            "DrugID",
+            F.get("_in_order", F.col("Rank") - 1)["s"].alias("score"),
+            "SourceCount",
+            "EvidenceRows",
+        )
+    )
+
+
 def ranked_recommendations(nested: DataFrame) -> DataFrame:
     """Array entries as rows with ``Rank`` from 1, by score and then id.
 

@@ -1,6 +1,7 @@
 """The two batch jobs: integrate the sources, then train and recommend.
 
     python -m ligatable.plans.jobs integrate <data folder> <store folder>
+    python -m ligatable.plans.jobs add <data folder> <store folder> <name of the load>
     python -m ligatable.plans.jobs train <store folder>
 """
 
@@ -8,7 +9,9 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ligatable.operators import evaluate, integrate, model, ppi
 from ligatable.session import build_session, cut_lineage, drop_staged, staging_path
@@ -16,6 +19,7 @@ from ligatable.sources import files, tables
 
 # Names of the stored tables and of the protein link file.
 INTEGRATED = "integrated_interactions"
+PARTIALS = "partial_scores"
 PPI_EDGES = "string_ppi_edges"
 METRICS = "model_metrics"
 PREDICTIONS = "predicted_interactions"
@@ -46,6 +50,40 @@ def integrate_sources(spark: SparkSession, data: str, store: str, fmt: str = "pa
     return integrate.dedup_report(stored(spark, store, INTEGRATED, fmt))
 
 
+def add_load(spark: SparkSession, data: str, store: str, load: str, fmt: str = "parquet") -> DataFrame:
+    """Add the source files in ``data`` to the store as ``load``; returns the row report.
+
+    Only the new files are read, and the stored sums by pair and source: extremes that moved and
+    pairs that gained rows come out as if all files had been integrated at once. A source may
+    come in several loads. A load that is stored already is refused, as its rows would count
+    twice; if only the pairs after it are missing, ``refresh_pairs`` makes them.
+    """
+    if load in stored_loads(spark, store, fmt):
+        raise ValueError(f"load {load!r} is stored already")
+    rows = integrate.load_sources(files.available_sources(spark, data))
+    sums = integrate.partial_scores(integrate.score_affinity(rows)).withColumn("Load", F.lit(load))
+    tables.save_table(sums, f"{store}/{PARTIALS}", fmt, mode="append")
+    return refresh_pairs(spark, store, fmt)
+
+
+def refresh_pairs(spark: SparkSession, store: str, fmt: str = "parquet") -> DataFrame:
+    """Write the integrated pairs of all stored loads anew; returns the row report."""
+    pairs = integrate.pairs_of_partials(stored(spark, store, PARTIALS, fmt))
+    tables.save_table(pairs, f"{store}/{INTEGRATED}", fmt)
+    return integrate.dedup_report(stored(spark, store, INTEGRATED, fmt))
+
+
+def stored_loads(spark: SparkSession, store: str, fmt: str = "parquet") -> list[str]:
+    """The names of the loads in the store, one row each."""
+    try:
+        sums = stored(spark, store, PARTIALS, fmt)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(row.Load for row in sums.select("Load").distinct().collect())
+
+
 def train_and_recommend(
     spark: SparkSession, store: str, fmt: str = "parquet", params: model.AlsParams = model.AlsParams()
 ) -> DataFrame:
@@ -62,14 +100,19 @@ def main(argv: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="job", required=True)
     integrating = commands.add_parser("integrate")
     integrating.add_argument("data")
+    adding = commands.add_parser("add")
+    adding.add_argument("data")
     training = commands.add_parser("train")
-    for command in (integrating, training):
+    for command in (integrating, adding, training):
         command.add_argument("store")
         command.add_argument("--format", default="parquet")
+    adding.add_argument("load")
     args = parser.parse_args(argv)
     spark = build_session(f"ligatable-{args.job}")
     if args.job == "integrate":
         integrate_sources(spark, args.data, args.store, args.format).show(truncate=False)
+    elif args.job == "add":
+        add_load(spark, args.data, args.store, args.load, args.format).show(truncate=False)
     else:
         train_and_recommend(spark, args.store, args.format).show(truncate=False)
 
