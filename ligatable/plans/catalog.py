@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ligatable.functions import labels, payloads, scores
-from ligatable.operators import compounds, disease, evaluate, integrate, model, network, ppi, profile, recommend
+from ligatable.operators import compounds, disease, evaluate, integrate, model, network, ppi, profile, recommend, retrieval
 from ligatable.session import cut_lineage, staging_path
 from ligatable.sources import files, fixtures, tables
 
@@ -27,6 +27,8 @@ DATA_CUT = 5.0
 #: Largest residual of a drug's normal equations, per rating; factors are single precision.
 RESIDUAL = 1e-3
 LOOKUP_TARGET = "P00007"
+#: Small, so that the test tables have several blocks.
+FACTOR_BLOCK = 64
 _QUERIES: dict[str, Query] = {}
 
 
@@ -226,6 +228,15 @@ def save_table(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stored.withColumn("Sources", F.concat_ws(",", "Sources")))
 
 
+@query
+def bucketed_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Recommended drugs with what is measured of them, from two tables stored in equal buckets."""
+    by_target = tables.Buckets(("TargetID",), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    measured_pairs = tables.save_bucketed(pairs(spark, folder), staging_path(spark, "bucketed_pairs"), by_target)
+    predicted = tables.save_bucketed(nested(spark, folder), staging_path(spark, "bucketed_predictions"), by_target)
+    return rounded(recommend.measured_evidence(predicted, measured_pairs))
+
+
 @query
 def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "predictions_csv")
@@ -415,6 +426,19 @@ def integrated_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pairs(spark, folder).withColumn("Sources", F.concat_ws(",", "Sources")))
 
 
+@query
+def incremental_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Three loads, the last with a source that moves and one that is split, integrated from stored sums."""
+    rows = scored(spark, folder)
+    late = F.col("Source") == "Ki"
+    split = (F.col("Source") == "KIBA") & (F.length("DrugID") % 2 == 0)
+    path = staging_path(spark, "partial_scores")
+    for part in (~late & ~split, split, late):
+        tables.save_table(integrate.partial_scores(rows.filter(part)), path, mode="append")
+    done = integrate.pairs_of_partials(tables.load_table(spark, path))
+    return rounded(done.withColumn("Sources", F.concat_ws(",", "Sources")))
+
+
 @query
 def dedup_report(spark: SparkSession, folder: str) -> DataFrame:
     return integrate.dedup_report(pairs(spark, folder))
@@ -680,19 +704,46 @@ def score_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def als_recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    """Per target the entries, and whether they are distinct known drugs in order of score."""
+    """Per target the entries, and whether they are the best products of the factors, in order."""
     fitted = _fitted(spark, folder)
-    entries = F.col("recommendations")
-    in_order = F.forall(entries, lambda e: e["score"].isNotNull()) & (
-        F.transform(entries, lambda e: e["score"])
-        == F.reverse(F.array_sort(F.transform(entries, lambda e: e["score"])))
+    by_rank = F.posexplode(F.transform("recommendations", lambda r: F.struct(r["DrugID"].alias("d"), r["score"].alias("s"))))
+    listed = (
+        fitted.recommendations()
+        .select("TargetID", F.size("recommendations").alias("entries"), by_rank)
+        .select("TargetID", "entries", (F.col("pos") + 1).alias("Rank"), "col.*")
+    )
+    top, _ = retrieval.bounded_top(fitted.model.userFactors, fitted.model.itemFactors)
+    best = model.decode_ids(top, fitted.drug_labels, fitted.target_labels).withColumn(
+        "Rank", F.row_number().over(Window.partitionBy("TargetID").orderBy(F.desc("score"), "DrugID"))
     )
-    distinct = F.size(F.array_distinct(F.transform(entries, lambda e: e["DrugID"]))) == F.size(entries)
-    return fitted.recommendations().select(
-        "TargetID", F.size(entries).alias("entries"), in_order.alias("in_order"), distinct.alias("known_drugs")
+    # factors are single precision: drugs within the last digits may change places
+    near = F.abs(F.col("s") - F.col("score")) < 1e-4
+    return (
+        listed.join(best.select("TargetID", "Rank", "score"), ["TargetID", "Rank"], "left")
+        .groupBy("TargetID")
+        .agg(
+            F.max("entries").alias("entries"),
+            F.coalesce(F.bool_and(near), F.lit(False)).alias("are_best"),
+            (F.count_distinct("d") == F.max("entries")).alias("all_different"),
+        )
     )
 
 
+@query
+def bounded_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best drugs of every target by the product of factors that the tables give."""
+    drug, target = fixtures.drug_factors(spark, folder), fixtures.target_factors(spark, folder)
+    top, _ = retrieval.bounded_top(drug, target, size=FACTOR_BLOCK)
+    return rounded(top.select("target_idx", "drug_idx", F.col("Rank").cast("int").alias("Rank"), "score"))
+
+
+@query
+def bounded_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of all blocks of drugs each target needs for its best ones."""
+    drug, target = fixtures.drug_factors(spark, folder), fixtures.target_factors(spark, folder)
+    return retrieval.bounded_top(drug, target, size=FACTOR_BLOCK)[1]
+
+
 # --- payloads ----------------------------------------------------------------------------------
 
 

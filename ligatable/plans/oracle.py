@@ -215,6 +215,19 @@ TABLES: dict[str, str] = {
     SELECT event_type AS algorithm, value AS rmse, value / 100 AS aupr, ts AS run_ts, event_id AS run_id FROM events""",
     "latest": """
     SELECT * FROM metrics_history ORDER BY run_ts DESC, run_id DESC LIMIT 1""",
+    "drug_factors": """
+    SELECT p_partkey AS d, w * (p_size - 25) / 64 AS d1, w * (p_partkey % 7 - 3) / 64 AS d2,
+           w * (p_partkey % 11 - 5) / 64 AS d3, w * (p_partkey % 13 - 6) / 64 AS d4
+    FROM (SELECT *, CAST(p_partkey % 50 + 1 AS DOUBLE) AS w FROM part) p""",
+    "target_factors": """
+    SELECT s_suppkey AS t, (s_nationkey - 12) / 64.0::DOUBLE AS t1, (s_suppkey % 5 - 2) / 64.0::DOUBLE AS t2,
+           (s_suppkey % 9 - 4) / 64.0::DOUBLE AS t3, (s_suppkey % 3 - 1) / 64.0::DOUBLE AS t4
+    FROM supplier""",
+    "products": """
+    SELECT t, d, t1 * d1 + t2 * d2 + t3 * d3 + t4 * d4 AS score FROM target_factors CROSS JOIN drug_factors""",
+    "drug_blocks": """
+    SELECT d, length, CAST(floor((row_number() OVER (ORDER BY length DESC, d) - 1) / 64) AS BIGINT) AS block
+    FROM (SELECT d, sqrt(d1 * d1 + d2 * d2 + d3 * d3 + d4 * d4) AS length FROM drug_factors) l""",
     "source_pairs": """
     SELECT Source, count(*) AS pairs FROM (SELECT DISTINCT DrugID, TargetID, Source FROM normalized) d GROUP BY Source""",
     "star": """
@@ -237,6 +250,9 @@ TWINS: dict[str, str] = {
     "read_ppi": "SELECT protein1, protein2, combined_score FROM raw_ppi",
     "load_table": "SELECT ProteinA, ProteinB, round(ConfidenceScore, 6) AS ConfidenceScore FROM edges",
     "save_table": _PAIRS,
+    "bucketed_store": """
+    SELECT m.TargetID, Rank, m.DrugID, score, SourceCount, EvidenceRows
+    FROM measured m JOIN pairs p ON m.TargetID = p.TargetID AND m.DrugID = p.DrugID""",
     "export_csv": f"SELECT *, substring(TargetID, 1, 12) AS predictions FROM ({_RANKED} measured) r",
     "prediction_for_target": f"""
     SELECT TargetID, {RECOMMENDATION_TEXT} AS recommendations FROM measured WHERE TargetID = 'P00007' GROUP BY TargetID""",
@@ -312,6 +328,7 @@ TWINS: dict[str, str] = {
            CAST(sum(pairs) OVER (ORDER BY {ORDER_OF_SOURCE}) AS BIGINT) AS cumulative FROM source_pairs""",
     "top_scores_head": _RANKED + "measured_long WHERE Rank <= 10",
     "integrated_pairs": _PAIRS,
+    "incremental_pairs": _PAIRS,
     "dedup_report": "SELECT CAST(sum(EvidenceRows) AS BIGINT) AS rows_before, count(*) AS pairs_after FROM pairs",
     "overview_stats": """
     SELECT count(DISTINCT TargetID) AS unique_targets, count(*) AS integrated_pairs,
@@ -439,8 +456,20 @@ TWINS: dict[str, str] = {
            CAST(10 AS BIGINT) AS targetBlocks, TRUE AS rmse_recomputed, TRUE AS aupr_recomputed""",
     "als_recommendations": """
     SELECT TargetID, CAST(least(5, (SELECT count(DISTINCT DrugID) FROM split WHERE is_training)) AS INTEGER) AS entries,
-           TRUE AS in_order, TRUE AS known_drugs
+           TRUE AS are_best, TRUE AS all_different
     FROM split WHERE is_training GROUP BY TargetID""",
+    "bounded_recommendations": """
+    SELECT t AS target_idx, d AS drug_idx, CAST(rk AS INTEGER) AS Rank, round(score, 6) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, d) AS rk FROM products) r WHERE rk <= 5""",
+    "bounded_reach": """
+    SELECT s.t AS target_idx, count(b.block) AS blocks, (SELECT count(DISTINCT block) FROM drug_blocks) AS "of"
+    FROM (SELECT t, sqrt(t1 * t1 + t2 * t2 + t3 * t3 + t4 * t4) AS length, least FROM target_factors JOIN (
+              SELECT t, min(score) AS least FROM (
+                  SELECT t, score, row_number() OVER (PARTITION BY t ORDER BY score DESC) AS rk
+                  FROM products JOIN drug_blocks USING (d) WHERE block = 0) f WHERE rk <= 5 GROUP BY t) k USING (t)) s
+    LEFT JOIN (SELECT block, max(length) AS high FROM drug_blocks GROUP BY block) b
+      ON s.length * b.high * (1 + 1e-9) + 1e-9 >= s.least
+    GROUP BY s.t""",
     "available_sources": """
     SELECT Source, count(*) AS rows FROM canonical WHERE Source <> 'Ki' GROUP BY Source""",
     "lead_screen": """

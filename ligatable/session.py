@@ -48,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="ligatable-")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Put this package on the path of Python workers that are yet to start.
+
+    It serves local sessions; a cluster gets the package installed or by ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
 def _file_system(spark: SparkSession, path: str) -> JavaObject:
     hadoop = spark._jvm.org.apache.hadoop.fs
     return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -316,3 +316,20 @@ def metrics_history(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("run_ts"),
         F.col("event_id").alias("run_id"),
     )
+
+
+def _factors(rows: DataFrame, key: Column, weight: Column, *numbers: Column) -> DataFrame:
+    """Multiples of 1/64, so that products and their sums are exact."""
+    return rows.select(key.alias("id"), F.array(*((weight * n).cast("double") / 64 for n in numbers)).alias("features"))
+
+
+def drug_factors(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("p_partkey")
+    numbers = (F.col("p_size") - 25, key % 7 - 3, key % 11 - 5, key % 13 - 6)
+    return _factors(table(spark, folder, "part"), key, key % 50 + 1, *numbers)
+
+
+def target_factors(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    numbers = (F.col("s_nationkey") - 12, key % 5 - 2, key % 9 - 4, key % 3 - 1)
+    return _factors(table(spark, folder, "supplier"), key, F.lit(1), *numbers)
