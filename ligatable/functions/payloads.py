@@ -28,6 +28,56 @@ COMPOUND_SCHEMA = """
     PropertyTable STRUCT<Properties: ARRAY<STRUCT<IsomericSMILES: STRING, Title: STRING, IUPACName: STRING>>>
 """
 
+# What a payload is at its top.
+OBJECT, OBJECTS = "^OBJECT<", "^ARRAY<(OBJECT|VOID)"
+#: Top and fields of each kind of payload.
+KINDS: dict[str, tuple[str, str]] = {
+    "protein": (OBJECT, PROTEIN_SCHEMA),
+    "ppi": (OBJECTS, PPI_SCHEMA),
+    "gene_search": (OBJECTS, GENE_SEARCH_SCHEMA),
+    "disease": (OBJECTS, DISEASE_SCHEMA),
+    "compound": (OBJECT, COMPOUND_SCHEMA),
+}
+MISSING, NOT_JSON, WRONG_SHAPE, WRONG_FIELDS = "missing", "not JSON", "wrong shape", "wrong fields"
+
+
+def payload_reason(payload: Column, kind: str) -> Column:
+    """Why a payload cannot be parsed as ``kind``, or null: the first of four tests that fails.
+
+    Blank text is missing. JSON is taken strictly, to its last character. An object may not stand
+    where a list of objects is due, nor the other way. Fields that are not known are no fault.
+    """
+    shape, schema = KINDS[kind]
+    # the parser ends with the first value: only one whole value parses inside both kinds of brackets
+    listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
+    value = F.try_variant_get(named, "$.v", "variant")
+    return (
+        F.when(~F.coalesce(payload.rlike(r"\S"), F.lit(False)), MISSING)
+        .when(listed.isNull() | named.isNull(), NOT_JSON)
+        .when(~F.schema_of_variant(value).rlike(shape), WRONG_SHAPE)
+        .when(F.from_json(payload, schema).isNull(), WRONG_FIELDS)
+    )
+
+
+def checked_payloads(payloads: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
+    """Add ``reason``: rows without go to the parser of ``kind``, the others to a table of rejects."""
+    return payloads.withColumn("reason", payload_reason(F.col(payload), kind))
+
+
+def accepted_payloads(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.col("reason").isNull()).drop("reason")
+
+
+def rejected_payloads(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.col("reason").isNotNull())
+
+
+def payload_report(checked: DataFrame, kind: str) -> DataFrame:
+    """Payloads by reason; the accepted ones stand under ``accepted``."""
+    reason = F.coalesce("reason", F.lit("accepted")).alias("reason")
+    return checked.groupBy(reason).agg(F.count(F.lit(1)).alias("payloads")).select(F.lit(kind).alias("kind"), "reason", "payloads")
+
 
 def _first(array: Column) -> Column:
     return F.get(array, F.lit(0))

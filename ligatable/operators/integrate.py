@@ -24,6 +24,56 @@ def canonical_affinity(df: DataFrame, drug_col: str, target_col: str, score_col:
     )
 
 
+#: What a raw row may break, in the order in which it is tested: a row counts under the first.
+RULES = (
+    "drug_id_missing",
+    "target_id_missing",
+    "score_missing",
+    "score_not_a_number",
+    "score_not_finite",
+    "score_not_positive",
+)
+
+
+def checked_affinity(df: DataFrame, drug_col: str, target_col: str, score_col: str, *keep: str) -> DataFrame:
+    """Canonical rows, the score as it was written, and ``Rule``, the first rule a row breaks or null.
+
+    Rows without a rule are those of ``valid_affinity``; nothing is dropped, and it is one projection.
+    """
+    rows = canonical_affinity(df, drug_col, target_col, score_col, F.col(score_col).cast("string").alias("ScoreText"), *keep)
+    score, text = F.col("RawScore"), F.col("ScoreText")
+    # NaN is above infinity in Spark's order
+    broken = (
+        F.col("DrugID").isNull(),
+        F.col("TargetID").isNull(),
+        text.isNull(),
+        score.isNull(),
+        (score >= float("inf")) | (score == float("-inf")),
+        score <= 0,
+    )
+    rule = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, test in zip(RULES, broken):
+        rule = rule.when(test, name)
+    return rows.withColumn("Rule", rule)
+
+
+def accepted_rows(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.col("Rule").isNull()).drop("Rule", "ScoreText")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.col("Rule").isNotNull())
+
+
+def reject_report(checked: DataFrame) -> DataFrame:
+    """Per source the raw rows, the valid ones, and those that break each rule first, in one pass."""
+    return checked.groupBy("Source").agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(F.col("Rule").isNull()).alias("valid_rows"),
+        *(F.count_if(F.col("Rule") == name).alias(name) for name in RULES),
+    )
+
+
 def tag_source(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("Source", F.lit(name))
 
@@ -59,6 +109,16 @@ def load_sources(available: Sequence[tuple[AffinitySource, DataFrame]]) -> DataF
     )
 
 
+def check_sources(available: Sequence[tuple[AffinitySource, DataFrame]]) -> DataFrame:
+    """Checked and tagged rows of the sources that were found, valid or not."""
+    return union_sources(
+        [
+            tag_source(checked_affinity(df, source.drug_col, source.target_col, source.score_col), source.name)
+            for source, df in available
+        ]
+    )
+
+
 def score_affinity(valid: DataFrame, sources: Sequence[AffinitySource] = SOURCES) -> DataFrame:
     """Add the p-scaled (or plain) affinity score and its type."""
     raw, source = F.col("RawScore"), F.col("Source")

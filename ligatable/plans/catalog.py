@@ -27,6 +27,8 @@ DATA_CUT = 5.0
 #: Largest residual of a drug's normal equations, per rating; factors are single precision.
 RESIDUAL = 1e-3
 LOOKUP_TARGET = "P00007"
+LOOKUP_DRUG = "17"
+BLOOM_DRUGS = 100_000
 #: Small, so that the test tables have several blocks.
 FACTOR_BLOCK = 64
 _QUERIES: dict[str, Query] = {}
@@ -252,6 +254,15 @@ def prediction_for_target(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("TargetID", _recommendation_text().alias("recommendations"))
 
 
+@query
+def predictions_of_drug(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets of one drug, from recommendations stored by target with a Bloom filter of the drugs."""
+    path = staging_path(spark, "ranked")
+    ranked = recommend.ranked_recommendations(nested(spark, folder, LONG_LIST))
+    tables.save_table(ranked, path, cluster_by=("TargetID", "Rank"), bloom={"DrugID": BLOOM_DRUGS})
+    return tables.predictions_of_drug(tables.load_table(spark, path), LOOKUP_DRUG)
+
+
 # --- projections, filters, predicates --------------------------------------------------
 
 
@@ -305,6 +316,23 @@ def binarize_label(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.binarize_label(baseline(spark, folder)))
 
 
+def checked_raw(spark: SparkSession, folder: str) -> DataFrame:
+    raw = fixtures.raw_text_affinity(spark, folder)
+    return integrate.checked_affinity(raw, "drug_id", "target_id", "affinity", F.col("source").alias("Source"))
+
+
+@query
+def reject_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows of each source: valid ones and those that break each rule first."""
+    return integrate.reject_report(checked_raw(spark, folder))
+
+
+@query
+def rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rejects = integrate.rejected_rows(checked_raw(spark, folder))
+    return rejects.select("Source", "Rule", "DrugID", "TargetID", "ScoreText")
+
+
 # --- scalar functions --------------------------------------------------------------------
 
 
@@ -772,6 +800,39 @@ def gene_id_from_search(spark: SparkSession, folder: str) -> DataFrame:
     return gene_ids(spark, folder)
 
 
+def checked_payloads(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Payloads of a kind, some broken, with the reason."""
+    rows, *key = {
+        "protein": (fixtures.protein_payload, "accession"),
+        "ppi": (fixtures.ppi_payload, "ProteinA", "page"),
+        "gene_search": (fixtures.gene_search_payload, "gene_symbol"),
+        "disease": (fixtures.disease_payload, "gene_symbol", "page"),
+        "compound": (fixtures.compound_payload, "drug_id"),
+    }[kind]
+    is_list = payloads.KINDS[kind][0] == payloads.OBJECTS
+    return payloads.checked_payloads(fixtures.broken_payloads(rows(spark, folder), is_list, *key), kind)
+
+
+@query
+def payload_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted and rejected payloads of every kind, by reason."""
+    return integrate.union_sources(
+        [payloads.payload_report(checked_payloads(spark, folder, kind), kind) for kind in payloads.KINDS]
+    )
+
+
+@query
+def rejected_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    rejects = payloads.rejected_payloads(checked_payloads(spark, folder, "compound"))
+    return rejects.select("drug_id", "reason")
+
+
+@query
+def accepted_proteins(spark: SparkSession, folder: str) -> DataFrame:
+    """The proteins whose payload is sound, parsed."""
+    return payloads.parse_protein_json(payloads.accepted_payloads(checked_payloads(spark, folder, "protein")))
+
+
 # --- screening and status -------------------------------------------------------------------
 
 

@@ -20,6 +20,8 @@ from ligatable.sources import files, tables
 # Names of the stored tables and of the protein link file.
 INTEGRATED = "integrated_interactions"
 PARTIALS = "partial_scores"
+REJECTS = "rejected_rows"
+REJECT_REPORT = "reject_report"
 PPI_EDGES = "string_ppi_edges"
 METRICS = "model_metrics"
 PREDICTIONS = "predicted_interactions"
@@ -31,17 +33,21 @@ def stored(spark: SparkSession, store: str, name: str, fmt: str = "parquet") ->
 
 
 def integrate_sources(spark: SparkSession, data: str, store: str, fmt: str = "parquet") -> DataFrame:
-    """Write the integrated pairs and the protein edges; returns the row report.
+    """Write the integrated pairs, the rejected rows and the protein edges; returns the row report.
 
-    Text is parsed once: the valid scored rows are written in columns and then read
-    twice, two columns for the extremes and all for the pairs. They go at the end.
+    Text is parsed once: the scored rows are written in columns, with the rule that each breaks
+    if any, and then read for the extremes, the pairs and the rejects. They go at the end.
     """
-    rows = integrate.load_sources(files.available_sources(spark, data))
+    rows = integrate.check_sources(files.available_sources(spark, data))
     path = staging_path(spark, "scored")
     try:
         tables.save_table(integrate.score_affinity(rows), path)
-        pairs = integrate.integrated_pairs(integrate.minmax_by_source(tables.load_table(spark, path)))
+        checked = tables.load_table(spark, path)
+        pairs = integrate.integrated_pairs(integrate.minmax_by_source(integrate.accepted_rows(checked)))
         tables.save_table(pairs, f"{store}/{INTEGRATED}", fmt)
+        rejects = integrate.rejected_rows(checked).select("Source", "Rule", "DrugID", "TargetID", "ScoreText")
+        tables.save_table(rejects, f"{store}/{REJECTS}", fmt)
+        tables.save_table(integrate.reject_report(checked), f"{store}/{REJECT_REPORT}", fmt)
     finally:
         drop_staged(spark, path)
     links = files.read_ppi(spark, f"{data}/{PPI_FILE}")

@@ -215,6 +215,31 @@ TABLES: dict[str, str] = {
     SELECT event_type AS algorithm, value AS rmse, value / 100 AS aupr, ts AS run_ts, event_id AS run_id FROM events""",
     "latest": """
     SELECT * FROM metrics_history ORDER BY run_ts DESC, run_id DESC LIMIT 1""",
+    "raw_text": f"""
+    SELECT CASE WHEN l_quantity <> 7 THEN {_drug('l_partkey')} END AS DrugID,
+           CASE WHEN l_quantity NOT IN (7, 8) OR l_partkey % 2 = 0 THEN {_target('l_suppkey')} END AS TargetID,
+           CASE l_quantity WHEN 2 THEN '0.0' WHEN 3 THEN '-1.0' WHEN 4 THEN 'n/a' WHEN 5 THEN 'Infinity' WHEN 6 THEN 'NaN'
+                WHEN 1 THEN NULL ELSE 'price' END AS kind, CAST(l_extendedprice AS VARCHAR) AS price,
+           CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'Davis' WHEN 'AO' THEN 'KIBA' WHEN 'NF' THEN 'IC50'
+                WHEN 'NO' THEN 'Kd' WHEN 'RF' THEN 'Ki' ELSE 'EC50' END AS Source
+    FROM lineitem""",
+    "ruled": """
+    SELECT *, CASE WHEN DrugID IS NULL THEN 'drug_id_missing' WHEN TargetID IS NULL THEN 'target_id_missing'
+                   WHEN kind IS NULL THEN 'score_missing' WHEN kind = 'n/a' THEN 'score_not_a_number'
+                   WHEN kind IN ('Infinity', 'NaN') THEN 'score_not_finite'
+                   WHEN kind IN ('0.0', '-1.0') THEN 'score_not_positive' END AS Rule
+    FROM raw_text""",
+    "payload_keys": f"""
+    SELECT 'protein' AS kind, accession AS key FROM parsed_protein
+    UNION ALL SELECT 'gene_search', concat('GENE', CAST(s_suppkey AS VARCHAR)) FROM supplier
+    UNION ALL SELECT 'compound', drug_id FROM compound_cid UNION ALL SELECT 'compound', drug_id FROM compound_xref
+    UNION ALL SELECT DISTINCT 'disease', concat(gene_symbol, '|', CAST(l_partkey // 100 AS VARCHAR)) FROM gene_disease
+    UNION ALL SELECT DISTINCT 'ppi', concat({_target('x')}, '|', CAST(y // 100 AS VARCHAR))
+              FROM protein_links WHERE x % 10 = 9""",
+    "payload_reasons": """
+    SELECT kind, key, CASE substring(md5(key), 1, 1) WHEN '0' THEN 'not JSON' WHEN '1' THEN 'wrong shape'
+                           WHEN '2' THEN 'missing' WHEN '3' THEN 'missing' WHEN '4' THEN 'not JSON' ELSE 'accepted' END AS reason
+    FROM payload_keys""",
     "drug_factors": """
     SELECT p_partkey AS d, w * (p_size - 25) / 64 AS d1, w * (p_partkey % 7 - 3) / 64 AS d2,
            w * (p_partkey % 11 - 5) / 64 AS d3, w * (p_partkey % 13 - 6) / 64 AS d4
@@ -470,6 +495,25 @@ TWINS: dict[str, str] = {
     LEFT JOIN (SELECT block, max(length) AS high FROM drug_blocks GROUP BY block) b
       ON s.length * b.high * (1 + 1e-9) + 1e-9 >= s.least
     GROUP BY s.t""",
+    "reject_report": """
+    SELECT Source, count(*) AS raw_rows, count(*) FILTER (Rule IS NULL) AS valid_rows,
+           count(*) FILTER (Rule = 'drug_id_missing') AS drug_id_missing,
+           count(*) FILTER (Rule = 'target_id_missing') AS target_id_missing,
+           count(*) FILTER (Rule = 'score_missing') AS score_missing,
+           count(*) FILTER (Rule = 'score_not_a_number') AS score_not_a_number,
+           count(*) FILTER (Rule = 'score_not_finite') AS score_not_finite,
+           count(*) FILTER (Rule = 'score_not_positive') AS score_not_positive
+    FROM ruled GROUP BY Source""",
+    "rejected_rows": """
+    SELECT Source, Rule, DrugID, TargetID, CASE WHEN kind = 'price' THEN price ELSE kind END AS ScoreText
+    FROM ruled WHERE Rule IS NOT NULL""",
+    "payload_report": "SELECT kind, reason, count(*) AS payloads FROM payload_reasons GROUP BY kind, reason",
+    "rejected_payloads": """
+    SELECT key AS drug_id, reason FROM payload_reasons WHERE kind = 'compound' AND reason <> 'accepted'""",
+    "accepted_proteins": """
+    SELECT accession, protein_name, organism, is_human, gene_symbol FROM parsed_protein
+    WHERE accession IN (SELECT key FROM payload_reasons WHERE kind = 'protein' AND reason = 'accepted')""",
+    "predictions_of_drug": f"SELECT * FROM ({_RANKED} measured_long) r WHERE DrugID = '17'",
     "available_sources": """
     SELECT Source, count(*) AS rows FROM canonical WHERE Source <> 'Ki' GROUP BY Source""",
     "lead_screen": """

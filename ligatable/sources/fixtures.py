@@ -78,6 +78,43 @@ def raw_affinity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_text_affinity(spark: SparkSession, folder: str) -> DataFrame:
+    """The affinity rows as text, some more of them broken: no number, not finite, or without an id."""
+    quantity = F.col("l_quantity")
+    score = (
+        F.when(quantity == 2, "0.0")
+        .when(quantity == 3, "-1.0")
+        .when(quantity == 4, "n/a")
+        .when(quantity == 5, "Infinity")
+        .when(quantity == 6, "NaN")
+        .when(quantity != 1, F.col("l_extendedprice").cast("string"))
+    )
+    source = F.concat("l_returnflag", "l_linestatus")
+    named = F.create_map(*(F.lit(x) for flags, name in FLAGS.items() for x in ("".join(flags), name)))
+    return table(spark, folder, "lineitem").select(
+        F.when(quantity != 7, drug_id(F.col("l_partkey"))).alias("drug_id"),
+        F.when(~quantity.isin(7, 8) | (F.col("l_partkey") % 2 == 0), target_id(F.col("l_suppkey"))).alias("target_id"),
+        score.alias("affinity"),
+        F.coalesce(F.try_element_at(named, source), F.lit(OTHER_FLAG)).alias("source"),
+    )
+
+
+def broken_payloads(payloads: DataFrame, is_list: bool, *key: str) -> DataFrame:
+    """Some payloads cut short, of the other shape, missing or blank, by the hash of their key."""
+    digit = F.substring(F.md5(F.concat_ws("|", *key).cast("binary")), 1, 1)
+    text = F.col("payload")
+    other = F.concat(F.lit('{"items":'), text, F.lit("}")) if is_list else F.concat(F.lit("["), text, F.lit("]"))
+    changed = (
+        F.when(digit == "0", text.substr(F.lit(1), F.length(text) - 1))
+        .when(digit == "1", other)
+        .when(digit == "2", F.lit(None).cast("string"))
+        .when(digit == "3", " ")
+        .when(digit == "4", F.concat(text, F.lit("}")))
+        .otherwise(text)
+    )
+    return payloads.withColumn("payload", changed)
+
+
 def source_frames(spark: SparkSession, folder: str) -> list[tuple[AffinitySource, DataFrame]]:
     """The same rows as one table per registered source, under that source's column names."""
     raw = raw_affinity(spark, folder)

@@ -1,0 +1,134 @@
+"""Rows and payloads that cannot be used are counted and kept, by reason."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ligatable.functions import payloads
+from ligatable.operators import integrate
+from ligatable.plans import catalog, jobs
+from ligatable.sources import fixtures, tables
+from ligatable.sources.files import SEPARATORS
+
+ROWS = [
+    ("d", "t", "1.5", None),
+    ("d", "t", " 2 ", None),
+    (None, "t", "1", "drug_id_missing"),
+    (None, None, None, "drug_id_missing"),
+    ("d", None, "x", "target_id_missing"),
+    ("d", "t", None, "score_missing"),
+    ("d", "t", "", "score_not_a_number"),
+    ("d", "t", "> 10", "score_not_a_number"),
+    ("d", "t", "NaN", "score_not_finite"),
+    ("d", "t", "Infinity", "score_not_finite"),
+    ("d", "t", "-Infinity", "score_not_finite"),
+    ("d", "t", "0", "score_not_positive"),
+    ("d", "t", "-0.0", "score_not_positive"),
+    ("d", "t", "-3", "score_not_positive"),
+    ("", "", "1e-300", None),
+]
+
+
+def checked(spark):
+    raw = spark.createDataFrame(ROWS, "a string, b string, c string, want string").withColumn("s", F.lit("Ki"))
+    return integrate.checked_affinity(raw, "a", "b", "c", F.col("s").alias("Source"), "want")
+
+
+def test_each_row_counts_under_its_first_broken_rule(spark):
+    got = checked(spark).collect()
+    assert [r.Rule for r in got] == [r.want for r in got] and len(got) == len(ROWS)
+
+
+def test_rows_without_a_rule_are_the_valid_ones(spark, rows):
+    raw = spark.createDataFrame([r[:3] for r in ROWS], "a string, b string, c string")
+    valid = integrate.valid_affinity(integrate.canonical_affinity(raw, "a", "b", "c"))
+    accepted = integrate.accepted_rows(checked(spark)).select("DrugID", "TargetID", "RawScore")
+    assert rows(accepted) == rows(valid)
+
+
+def test_report_adds_up(spark, sf_dir):
+    report = integrate.reject_report(checked(spark)).first()
+    assert (report.raw_rows, report.valid_rows) == (len(ROWS), 3)
+    for row in [report, *catalog.reject_report(spark, sf_dir).collect()]:
+        assert row.raw_rows == row.valid_rows + sum(row[name] for name in integrate.RULES)
+    assert integrate.reject_report(checked(spark).limit(0)).count() == 0
+
+
+def test_job_keeps_the_rejects(spark, sf_dir, tmp_path):
+    data, store = str(tmp_path / "data"), str(tmp_path / "store")
+    for source, df in fixtures.source_frames(spark, sf_dir):
+        df.write.csv(f"{data}/{source.file}", header=True, sep=SEPARATORS[source.format])
+    jobs.integrate_sources(spark, data, store)
+    report = {r.Source: r for r in jobs.stored(spark, store, jobs.REJECT_REPORT).collect()}
+    raw = {r.Source: r["count"] for r in catalog.canonical(spark, sf_dir).groupBy("Source").count().collect()}
+    assert {s: r.raw_rows for s, r in report.items()} == raw
+    rejects = jobs.stored(spark, store, jobs.REJECTS)
+    assert rejects.count() == sum(r.raw_rows - r.valid_rows for r in report.values()) > 0
+    assert {r.Rule for r in rejects.collect()} == {"score_missing", "score_not_positive"}
+
+
+PAYLOADS = [
+    ("ppi", None, payloads.MISSING),
+    ("ppi", " \n", payloads.MISSING),
+    ("ppi", '[{"score": 1}', payloads.NOT_JSON),
+    ("ppi", "[{'score': 1}]", payloads.NOT_JSON),
+    ("ppi", "[]]", payloads.NOT_JSON),
+    ("ppi", "<html>", payloads.NOT_JSON),
+    ("ppi", "[]}", payloads.NOT_JSON),
+    ("ppi", "[], []", payloads.NOT_JSON),
+    ("ppi", "] , [", payloads.NOT_JSON),
+    ("ppi", '[], "x": 1', payloads.NOT_JSON),
+    ("ppi", '[]}, {"v": []', payloads.NOT_JSON),
+    ("protein", "{}}", payloads.NOT_JSON),
+    ("ppi", "null", payloads.WRONG_SHAPE),
+    ("ppi", '{"score": 1}', payloads.WRONG_SHAPE),
+    ("ppi", "[1, 2]", payloads.WRONG_SHAPE),
+    ("ppi", '"text"', payloads.WRONG_SHAPE),
+    ("ppi", "[]", None),
+    ("ppi", '[{"score": 1, "other": [1]}, {}]', None),
+    ("protein", "{}", None),
+    ("protein", '{"organism": {"taxonId": 1}}', None),
+    ("protein", "[{}]", payloads.WRONG_SHAPE),
+    ("protein", "12", payloads.WRONG_SHAPE),
+    ("compound", '{"PropertyTable": {"Properties": []}}', None),
+    ("compound", '{"Fault": "busy"', payloads.NOT_JSON),
+]
+
+
+@pytest.mark.parametrize("kind", ["ppi", "protein", "compound"])
+def test_reasons(spark, kind):
+    given = [(p, w) for k, p, w in PAYLOADS if k == kind]
+    got = payloads.checked_payloads(spark.createDataFrame(given, "payload string, want string"), kind).collect()
+    assert [r.reason for r in got] == [r.want for r in got]
+
+
+def test_sound_payloads_parse_as_before(spark, sf_dir, rows):
+    for kind, read, parse in (
+        ("ppi", fixtures.ppi_payload, payloads.parse_ppi_json),
+        ("disease", fixtures.disease_payload, payloads.parse_disease_json),
+        ("compound", fixtures.compound_payload, payloads.parse_compound_json),
+        ("gene_search", fixtures.gene_search_payload, payloads.gene_id_from_search),
+    ):
+        given = read(spark, sf_dir)
+        sound = payloads.checked_payloads(given, kind)
+        assert payloads.rejected_payloads(sound).count() == 0
+        assert rows(parse(payloads.accepted_payloads(sound))) == rows(parse(given))
+
+
+def scanned_rows(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_bloom_filters_skip_row_groups(spark, tmp_path):
+    """Rows by target: a drug that only some row groups hold is found without reading the others."""
+    ranked = spark.range(40_000).selectExpr(
+        "concat('P', lpad(id div 20, 5, '0')) TargetID", "cast(id % 20 as int) Rank", "concat('d', id * 7919 % 40000) DrugID"
+    )
+    for name, bloom in (("plain", None), ("bloom", {"DrugID": 4000})):
+        tables.save_table(ranked.coalesce(1), f"{tmp_path}/{name}", bloom=bloom, **{"parquet.block.size": "16384", "parquet.enable.dictionary": "false"})
+    found = {n: tables.predictions_of_drug(tables.load_table(spark, f"{tmp_path}/{n}"), "d31") for n in ("plain", "bloom")}
+    assert found["bloom"].collect() == found["plain"].collect() and found["bloom"].count() == 1
+    assert scanned_rows(found["bloom"]) < 0.5 * scanned_rows(found["plain"])
+    absent = tables.predictions_of_drug(tables.load_table(spark, f"{tmp_path}/bloom"), "d99999x")
+    assert absent.count() == 0
