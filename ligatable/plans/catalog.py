@@ -512,7 +512,9 @@ def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def source_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.source_quality(canonical(spark, folder), normalized(spark, folder), digits=DIGITS))
+    # written once, as the integration job does: the quality of a source is read in several passes
+    stored_rows = integrate.minmax_by_source(_stored(scored(spark, folder), "scored"))
+    return rounded(profile.source_quality(canonical(spark, folder), stored_rows, digits=DIGITS))
 
 
 # --- set operations and lookups ------------------------------------------------------------

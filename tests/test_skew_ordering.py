@@ -97,3 +97,34 @@ def test_quartiles_of_uneven_groups(spark):
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None)], "g STRING, v DOUBLE")
     for r in quartiles(df, "g", "v").collect():
         assert np.allclose([r.q1, r.q3], np.quantile(data[r.g], [0.25, 0.75]))
+
+
+def test_quartiles_whose_sketch_misses(spark, monkeypatch):
+    """Bounds that do not hold a quartile show in the counts, and its group is put in order whole."""
+    rows = [(g, float((i * 37) % 1000) ** (g + 1)) for g in range(3) for i in range(1000)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = {g: np.percentile([v for h, v in rows if h == g], [25, 75]) for g in range(3)}
+    real = F.percentile_approx
+    wrong = [
+        lambda v, p, a: F.when(F.max("g") == 1, F.array(*map(F.lit, (0.0, 1.0, 2.0, 3.0)))).otherwise(real(v, p, a)),
+        lambda v, p, a: F.array(*(F.max(v) + i for i in range(4))),
+        real,
+    ]
+    for sketch in wrong:
+        monkeypatch.setattr(F, "percentile_approx", sketch)
+        got = {r.g: (r.q1, r.q3) for r in quartiles(df, "g", "v").collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_quartiles_read_twice(spark):
+    df = spark.range(100_000).selectExpr("id % 4 g", "cast(hash(id) as double) v")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = df.mapInArrow(count, df.schema)
+    assert quartiles(watched, "g", "v").count() == 4
+    assert seen.value == 2 * 100_000
