@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 from math import log
@@ -11,23 +11,30 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ligatable.llm import gru
 from ligatable.llm.common import LOWER, held_out, kth_largest, pieces, rows_out, small_batches, utf8
-from ligatable.session import cut_lineage
+from ligatable.session import cut_lineage, drop_staged, staging_path
 
 HIDDEN = 16
 #: Words with outputs of their own, in classes of 64 by rank; all others are in rare classes.
 MODELLED, IN_CLASS, RARE_CLASSES = 2048, 64, 32
 #: Words whose counts travel with the tasks; counts of all others are joined.
 LISTED = 150_000
-#: One in so many training documents is trained on, in as many rounds.
-TRAIN_ONE_IN, ROUNDS = 16, 2
+#: Training tokens of a copy of the model, and rounds after which copies are averaged.
+COPY_TOKENS, ROUNDS = 1 << 20, 4
+#: Tokens after which a longer document is dealt to another copy.
+SEGMENT = 1 << 16
+#: Rate of the first round; a round's is this by its number.
+RATE = 0.01
 #: Steps that gradients go back; the state goes on.
 WINDOW = 32
+#: Windows that a step of training reads side by side at most; a pass takes eight steps or more.
+LANES = 128
 #: Tokens whose class probabilities are computed at a time, to stay in the cache.
 CHUNK = 2048
 #: The end of a document; no word can be this.
@@ -51,6 +58,7 @@ PART_ROWS = pa.schema(
 PART_DDL = (
     "rid long, doc_id long, word binary, n long, n_tokens long, n_known long, log_counts double, score double"
 )
+SEGMENT_ROWS = pa.schema([("key", pa.int64()), ("segment", pa.int32()), ("codes", pa.binary())])
 WEIGHT_ROWS = pa.schema([("weights", pa.binary()), ("tokens", pa.float64())])
 
 
@@ -241,22 +249,38 @@ class Model:
             h = after[-1]
         return total
 
-    def train(self, docs: list[np.ndarray], rate: float, lanes: int = 128) -> None:
-        """One pass of truncated backpropagation: gradients stop at a window, states do not."""
-        adam, h = gru.Adam(rate), np.zeros((0, HIDDEN), np.float32)
-        for live, codes, keep, first in self.windows(docs, lanes):
-            h = np.zeros((len(live), HIDDEN), np.float32) if first else h[: len(live)]
+    def train(self, docs: list[np.ndarray], rate: float, lanes: int = LANES) -> None:
+        """One pass of truncated backpropagation: gradients stop at a window, states at a document's end.
+
+        Documents stand one behind the other and are cut into lanes of equal length, so that
+        every step but the last reads ``lanes`` whole windows.
+        """
+        flat = np.concatenate(docs) if docs else np.empty(0, np.int64)
+        if not len(flat):
+            return
+        lanes = max(1, min(lanes, len(flat) // (8 * WINDOW)))
+        length = -(-len(flat) // lanes)
+        more = np.ones(len(flat), np.float32)
+        more[np.cumsum([len(d) for d in docs if len(d)]) - 1] = 0
+
+        def dealt(values: np.ndarray) -> np.ndarray:
+            return np.pad(values, (0, lanes * length - len(flat))).reshape(lanes, length).T
+
+        codes, more, keep = dealt(flat), dealt(more), dealt(np.ones(len(flat), bool))
+        adam, h = gru.Adam(rate), np.zeros((lanes, HIDDEN), np.float32)
+        scale = np.float32(1 / (WINDOW * lanes))
+        for at in range(0, length, WINDOW):
+            ids, there = codes[at : at + WINDOW], keep[at : at + WINDOW]
+            kept, go = there.astype(np.float32), more[at : at + WINDOW]
             tape: list = []
-            after = gru.forward(self.layer, codes, keep, h, tape)
-            there = keep > 0
+            after = gru.forward(self.layer, ids, kept, h, tape, go)
             grads = {k: np.zeros_like(v) for k, v in self.out.items()}
-            scale = np.float32(1 / (WINDOW * lanes))
-            _, d = self.outputs(self._before(h, after)[there], codes[there], grads)
+            _, d = self.outputs(self._before(h, after)[there], ids[there], grads)
             d_before = np.zeros_like(after)
             d_before[there] = d * scale
             d_after = np.concatenate((d_before[1:], np.zeros_like(d_before[:1])))
             grads = {k: v * scale for k, v in grads.items()}
-            layer = gru.backward(self.layer, codes, keep, tape, d_after)
+            layer = gru.backward(self.layer, ids, kept, tape, d_after, go)
             adam.step(self.arrays(), grads | {f"layer.{k}": v for k, v in layer.items()})
             h = after[-1]
 
@@ -289,50 +313,86 @@ def _codes(
     return at, codes, others
 
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> Model:
-    """The model, trained on one in ``one_in`` rows of ``texts (doc_id, text)``.
+def _dealt(texts: DataFrame, vocab: Vocabulary, copies: int) -> DataFrame:
+    """``copy, key, segment, codes``: the codes of ``texts``, dealt by hash into ``copies``.
 
-    What is read grows with the input. In every round, each task trains a copy on its
-    documents, and copies are averaged by their tokens: first in tasks, so that the
-    driver gets a few rows only.
+    A document longer than a segment goes to several copies. Rows with equal id and text
+    would all meet in one copy, so they are merged, first in their tasks.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        index = known.index()
+        for piece in pieces(batches, 4 << 20):
+            keys, segments, codes = [], [], []
+            for key, text in zip(piece.column(0).to_pylist(), utf8(piece.column(1))):
+                found = _codes(index, known, tokens(text))[1].astype(np.uint16)
+                for k, at in enumerate(range(0, len(found), SEGMENT)):
+                    keys.append(key)
+                    segments.append(k)
+                    codes.append(found[at : at + SEGMENT].tobytes())
+            yield rows_out(SEGMENT_ROWS, [keys, segments, codes])
+
+    keyed = texts.select(F.xxhash64(F.lit(4), "doc_id", "text").alias("key"), F.col("text").cast("string"))
+    copy = F.pmod(F.xxhash64(F.lit(5), "key", "segment"), F.lit(copies)).alias("copy")
+    rows = keyed.mapInArrow(run, "key long, segment int, codes binary")
+    return rows.groupBy("key", "segment").agg(F.min("codes").alias("codes")).select(copy, "key", "segment", "codes")
+
+
+def _trainer(shared: Broadcast, rate: float) -> Callable[[pa.Table], pa.Table]:
+    """Trains a copy on its rows in the order of their hashes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        known, weights = shared.value
+        own = Model(known)
+        own.load(np.frombuffer(weights, np.float32))
+        rows = rows.sort_by([("key", "ascending"), ("segment", "ascending")])
+        docs = [np.frombuffer(c, np.uint16).astype(np.int64) for c in rows.column("codes").to_pylist()]
+        own.train(docs, rate)
+        return pa.Table.from_batches([rows_out(WEIGHT_ROWS, [[own.packed()], [float(sum(map(len, docs)))]])])
+
+    return run
+
+
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The model, trained on all rows of ``texts (doc_id, text)``; repeats of a row once.
+
+    Documents are dealt by hash to copies of about ``COPY_TOKENS`` tokens, so neither files
+    nor cores change the model. In every round the copies whose turn it is start from the
+    shared weights and read their documents in the order of their hashes; then they are
+    averaged by tokens, first in tasks, so that the driver gets a few rows only. The copies
+    take turns until each was read as often as every round needs to have one: once, if there
+    are as many copies as rounds.
     """
     model = Model(vocab)
     spark = texts.sparkSession
-    chosen = texts.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(one_in)) == 0).select(
-        F.col("text").cast("string")
-    )
+    copies = max(1, -(-vocab.n // COPY_TOKENS))
+    passes = -(-rounds // copies)
+    path = staging_path(spark, "codes")
+    turn = F.pmod("copy", F.lit(rounds)).cast("int").alias("turn")
+    _dealt(texts, vocab, copies).select("*", turn).write.partitionBy("turn").parquet(path)
+    dealt = spark.read.schema("copy long, key long, segment int, codes binary, turn int").parquet(path)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, model.packed()))
-        rate = 0.02 / (k + 1)
-
-        def local(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            known, weights = shared.value
-            index, own = known.index(), Model(known)
-            own.load(np.frombuffer(weights, np.float32))
-            n = 0
-            for piece in pieces(batches, 4 << 20):
-                docs = [_codes(index, known, tokens(t))[1] for t in utf8(piece.column(0))]
-                own.train(docs, rate)
-                n += sum(map(len, docs))
-            if n:
-                yield rows_out(WEIGHT_ROWS, [[own.packed()], [float(n)]])
-
-        parts = chosen.mapInArrow(local, "weights binary, tokens double")
+        now = dealt.filter(F.col("turn").isin([(k - p * copies) % rounds for p in range(passes)]))
+        parts = now.groupBy("copy").applyInArrow(_trainer(shared, RATE / (k + 1)), "weights binary, tokens double")
         found = parts.repartition(8).mapInArrow(_summed, "weights binary, tokens double").collect()
         total = sum(r.tokens for r in found)
         if total:
-            model.load(sum(np.frombuffer(r.weights, np.float32) * np.float32(r.tokens / total) for r in found))
+            model.load(sum(np.frombuffer(r.weights, np.float64) * (r.tokens / total) for r in found))
+    drop_staged(spark, path)
     return model
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mean of the weights that reach a task, and their tokens."""
+    """The mean of the weights that reach a task, in double precision, and their tokens."""
     mean, n = None, 0.0
     for batch in batches:
         for weights, tokens_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new = np.frombuffer(weights, np.float32)
+            new = np.frombuffer(weights, np.float32).astype(np.float64)
             n += tokens_
-            mean = new.copy() if mean is None else mean + (new - mean) * np.float32(tokens_ / n)
+            mean = new if mean is None else mean + (new - mean) * (tokens_ / n)
     if mean is not None:
         yield rows_out(WEIGHT_ROWS, [[mean.tobytes()], [n]])
 
@@ -386,7 +446,7 @@ def document_scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     Tokens are the words of a text between ASCII white space, A-Z lower-cased, and one
     end. Counts cover all documents whose id's crc32 modulo ``folds`` is not 2, and so
     does the model: its class and word probabilities start from these counts, and it is
-    trained on a fixed share of these documents.
+    trained on all of these documents, dealt by hash, whatever files or tasks they come from.
 
     ``base_score`` sums the log10 of ``(c + 1) / (N + V + 1)``. ``score`` is the log10
     probability of the model: the state after all earlier tokens of the document gives

@@ -19,12 +19,17 @@ def new_layer(rng: np.random.Generator, symbols: int, hidden: int) -> dict[str,
 
 
 def forward(
-    p: dict[str, np.ndarray], ids: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: list | None = None
+    p: dict[str, np.ndarray],
+    ids: np.ndarray,
+    keep: np.ndarray,
+    h: np.ndarray,
+    tape: list | None = None,
+    go: np.ndarray | None = None,
 ) -> np.ndarray:
     """States after each of the ``(time, lane)`` symbols, from state ``h (lane, hidden)``.
 
-    ``keep (time, lane)`` is 0 where a step must leave the state as it is. With
-    ``tape``, what ``backward`` needs is appended to it.
+    ``keep (time, lane)`` is 0 where a step must leave the state as it is, ``go`` where
+    the state after a step is zero. With ``tape``, what ``backward`` needs is appended to it.
     """
     n = h.shape[1]
     out = np.empty((*ids.shape, n), np.float32)
@@ -39,6 +44,8 @@ def forward(
             tape.append((h, z, r, new, a[:, 2 * n :]))
         k = keep[t][:, None]
         h = h + k * (1 - z) * (new - h)
+        if go is not None:
+            h *= go[t][:, None]
         out[t] = h
     return out
 
@@ -81,7 +88,12 @@ def states(p: dict[str, np.ndarray], ids: np.ndarray, keep: np.ndarray, h: np.nd
 
 
 def backward(
-    p: dict[str, np.ndarray], ids: np.ndarray, keep: np.ndarray, tape: list, d_out: np.ndarray
+    p: dict[str, np.ndarray],
+    ids: np.ndarray,
+    keep: np.ndarray,
+    tape: list,
+    d_out: np.ndarray,
+    go: np.ndarray | None = None,
 ) -> dict[str, np.ndarray]:
     """Gradients of the layer's weights for gradients ``d_out`` of its states."""
     n = d_out.shape[2]
@@ -91,6 +103,8 @@ def backward(
         h, z, r, new, a = tape[t]
         k = keep[t][:, None]
         dh = dh + d_out[t]
+        if go is not None:
+            dh *= go[t][:, None]
         moved = dh * k
         stay = 1 - z
         d_new = moved * stay

@@ -145,6 +145,43 @@ def test_model_beats_the_counts_on_held_out_documents(spark):
     assert np.mean(gain) > 0.02
 
 
+def test_scores_do_not_depend_on_the_partitions(spark, sf_dir, monkeypatch):
+    """Several copies, long documents in segments, and rows that repeat: one model however they lie."""
+    monkeypatch.setattr(gated_lm, "COPY_TOKENS", 8192)
+    monkeypatch.setattr(gated_lm, "SEGMENT", 500)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1))
+    found = []
+    for n in (1, 4, 16):
+        rows = gated_lm.document_scores(docs.repartition(n)).collect()
+        found.append(sorted((r.doc_id, r.n_tokens, r.score) for r in rows))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert [r[2] for r in other] == pytest.approx([r[2] for r in found[0]], rel=1e-6)
+
+
+def test_state_ends_with_a_document_in_training():
+    """Two documents behind each other train like the same two in lanes of their own."""
+    vocab = small_vocabulary(TEXTS)
+    rng = np.random.default_rng(3)
+    p = gated_lm.Model(vocab).layer
+    ids = rng.integers(0, vocab.size, (6, 1))
+    go = np.array([1, 1, 0, 1, 1, 0], np.float32)[:, None]
+    zero = np.zeros((1, gated_lm.HIDDEN), np.float32)
+    tape, keep = [], np.ones((6, 1), np.float32)
+    after = gru.forward(p, ids, keep, zero, tape, go)
+    pair = np.concatenate((ids[:3], ids[3:]), axis=1)
+    apart_tape, stop = [], np.repeat(go[:3], 2, axis=1)
+    apart = gru.forward(p, pair, np.ones((3, 2), np.float32), np.repeat(zero, 2, axis=0), apart_tape, stop)
+    assert after[:3, 0] == pytest.approx(apart[:, 0]) and after[3:, 0] == pytest.approx(apart[:, 1])
+    weight = rng.normal(size=after.shape).astype(np.float32)
+    whole = gru.backward(p, ids, keep, tape, weight, go)
+    split = np.concatenate((weight[:3], weight[3:]), axis=1)
+    parts = gru.backward(p, pair, np.ones((3, 2), np.float32), apart_tape, split, stop)
+    for name in whole:
+        assert whole[name] == pytest.approx(parts[name], abs=1e-5)
+
+
 def test_counts_do_not_depend_on_the_list(spark, sf_dir, monkeypatch):
     """With few listed words, the joined counts give the same base score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
