@@ -47,6 +47,24 @@ def label_index(pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
     return ranked.select(id_col, (F.col("cum_one") - 1).alias(idx_col), "rows")
 
 
+def extend_labels(labels: DataFrame, pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
+    """``labels`` after another load of ``pairs``: old ids keep their index, new ones follow.
+
+    New ids are numbered without gaps from the first free index, most frequent in this load
+    first, ties by id; ``rows`` counts all loads. Null ids get no index. Only ids move: the
+    load is counted by id before it meets the labels. Without labels this is ``label_index``.
+    """
+    counted = pairs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_more"))
+    total = (F.coalesce("rows", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("rows")
+    # both kinds of ids are read from one written copy
+    met = cut_lineage(labels.join(counted, id_col, "full_outer").select(id_col, idx_col, total))
+    known = met.filter(F.col(idx_col).isNotNull())
+    free = known.agg(F.coalesce(F.max(idx_col) + 1, F.lit(0)).alias("free")).scalar()
+    fresh = met.filter(F.col(idx_col).isNull()).select(id_col, "rows").withColumn("one", F.lit(1))
+    ranked = running_totals(fresh, [F.col("rows").desc(), F.col(id_col)], ["one"])
+    return known.unionByName(ranked.select(id_col, (F.col("cum_one") - 1 + free).alias(idx_col), "rows"))
+
+
 def _encode(pairs: DataFrame, labels: DataFrame, id_col: str, idx_col: str) -> DataFrame:
     unseen = F.lit(labels.count())
     joined = salted_join(

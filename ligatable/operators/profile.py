@@ -18,6 +18,9 @@ CURVE_POINTS = 300
 CURVE_FROM, CURVE_TO = -1, 5
 FENCE = 1.5
 AGREEMENT = 1.0
+#: Sketches have two to this many registers; the standard error follows from that.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
 def pscale_curve(spark: SparkSession, points: int = CURVE_POINTS, cut: float = STRONG_CUT) -> DataFrame:
@@ -72,6 +75,43 @@ def overview_stats(pairs: DataFrame, edges: DataFrame, latest: DataFrame) -> Dat
     return counted.select("*", n_edges.alias("ppi_edges"), *(shown(m) for m in ("rmse", "aupr")))
 
 
+def source_sketches(rows: DataFrame, columns: Sequence[str] = ("DrugID", "TargetID")) -> DataFrame:
+    """``Source`` and, for each column, a mergeable sketch of its distinct values; null values do not count.
+
+    Store one such table a load: sketches of any loads and sources merge without their rows.
+    """
+    return rows.groupBy("Source").agg(*(F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(c) for c in columns))
+
+
+def distinct_of_choices(
+    sketches: DataFrame, choices: DataFrame, columns: Sequence[str] = ("DrugID", "TargetID")
+) -> DataFrame:
+    """About how many distinct values the sources of each choice hold together.
+
+    ``choices (choice, Source)`` names them, once each; sources without a sketch add nothing, and a
+    choice without any is left out. The standard error is ``SKETCH_ERROR`` of the value.
+    """
+    merged = choices.join(sketches, "Source").groupBy("choice")
+    return merged.agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns))
+
+
+def exact_of_choices(rows: DataFrame, choices: DataFrame, column: str) -> DataFrame:
+    """``(choice, column)``: the exact count that a sketch stands for, from all rows.
+
+    Values shrink to the set of sources they occur in, so as many rows as there are such sets
+    meet the choices; a value of several chosen sources counts once.
+    """
+    sets = (
+        rows.filter(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(F.array_sort(F.collect_set("Source")).alias("sources"))
+        .groupBy("sources")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    met = sets.select("sources", "n", F.explode("sources").alias("Source")).join(choices, "Source")
+    return met.select("choice", "sources", "n").distinct().groupBy("choice").agg(F.sum("n").alias(column))
+
+
 def pairs_by_source(pairs: DataFrame) -> DataFrame:
     """Pairs each source contributes to, and its share of the sum over sources."""
     counts = pairs.select(F.explode("Sources").alias("Source")).groupBy("Source").agg(F.count(F.lit(1)).alias("pairs"))

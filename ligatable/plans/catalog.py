@@ -18,6 +18,7 @@ from ligatable.functions import labels, payloads, scores
 from ligatable.operators import compounds, disease, evaluate, integrate, model, network, ppi, profile, recommend, retrieval
 from ligatable.session import cut_lineage, staging_path
 from ligatable.sources import files, fixtures, tables
+from ligatable.sources.registry import source_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -478,6 +479,26 @@ def overview_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.overview_stats(pairs(spark, folder), edges(spark, folder), latest))
 
 
+@query
+def source_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """Every choice of sources: its exact counts, and whether stored sketches of two loads come near them."""
+    rows = valid(spark, folder)
+    path = staging_path(spark, "sketches")
+    for part in (F.length("DrugID") % 2 == 0, F.length("DrugID") % 2 == 1):
+        tables.save_table(profile.source_sketches(rows.filter(part)), path, mode="append")
+    names = source_names()
+    chosen = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("Source")) for i, n in enumerate(names))))
+    numbered = spark.range(1, 2 ** len(names)).select(F.col("id").alias("choice"), chosen.alias("s"))
+    choices = numbered.filter(F.expr("shiftright(choice, s.i) & 1 = 1")).select("choice", "s.Source")
+    near = profile.distinct_of_choices(tables.load_table(spark, path), choices)
+    for column in ("DrugID", "TargetID"):
+        exact = profile.exact_of_choices(rows, choices, column).withColumnRenamed(column, f"{column}_exact")
+        off = F.abs(F.col(column) - F.col(f"{column}_exact"))
+        close = off <= 4 * profile.SKETCH_ERROR * F.col(f"{column}_exact") + 1
+        near = near.join(exact, "choice").withColumn(f"{column}_near", close).drop(column)
+    return near
+
+
 @query
 def pairs_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.pairs_by_source(pairs(spark, folder)))
@@ -643,6 +664,20 @@ def index_ids(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.index_ids(rows, *label_tables(rows)))
 
 
+@query
+def growing_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Both label tables after three loads; ids of earlier loads keep their index."""
+    rows = stored_pairs(spark, folder)
+    found = []
+    for side, idx, other in (("DrugID", "drug_idx", "TargetID"), ("TargetID", "target_idx", "DrugID")):
+        load = F.ascii(F.substring(other, -1, 1)) % 3
+        labels = cut_lineage(model.label_index(rows.filter(load == 0), side, idx))
+        for k in (1, 2):
+            labels = cut_lineage(model.extend_labels(labels, rows.filter(load == k), side, idx))
+        found.append(labels.select(F.lit(side).alias("side"), F.col(side).alias("id"), F.col(idx).alias("idx"), "rows"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def split_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.mark_split(integrate.training_pairs(pairs(spark, folder))))

@@ -360,6 +360,16 @@ TWINS: dict[str, str] = {
            (SELECT count(*) FROM edges) AS ppi_edges,
            (SELECT round(nullif(rmse, 0), 6) FROM latest) AS rmse, (SELECT round(nullif(aupr, 0), 6) FROM latest) AS aupr
     FROM pairs""",
+    "source_choices": f"""
+    SELECT choice, CAST(sum(n) FILTER (WHERE side = 'd') AS BIGINT) AS DrugID_exact, true AS DrugID_near,
+           CAST(sum(n) FILTER (WHERE side = 't') AS BIGINT) AS TargetID_exact, true AS TargetID_near
+    FROM (SELECT range AS choice FROM range(1, 64)) c
+    JOIN (SELECT side, bits, count(*) AS n
+          FROM (SELECT side, id, bit_or(1 << (CAST({ORDER_OF_SOURCE} AS INTEGER) - 1)) AS bits
+                FROM (SELECT 'd' AS side, DrugID AS id, Source FROM valid
+                      UNION ALL SELECT 't', TargetID, Source FROM valid) v GROUP BY side, id) m
+          GROUP BY side, bits) b ON (choice & bits) <> 0
+    GROUP BY choice""",
     "pairs_by_source": """
     SELECT Source, pairs, round(pairs / (SELECT sum(pairs) FROM source_pairs), 6) AS share FROM source_pairs""",
     "nested_recommendations": f"SELECT TargetID, {RECOMMENDATION_TEXT} AS recommendations FROM measured GROUP BY TargetID",
@@ -445,6 +455,14 @@ TWINS: dict[str, str] = {
     SELECT p.DrugID, p.TargetID, round(NormalizedScore, 6) AS NormalizedScore, CAST(drug_idx AS DOUBLE) AS drug_idx,
            CAST(target_idx AS DOUBLE) AS target_idx
     FROM pairs p JOIN drug_labels d ON p.DrugID = d.DrugID JOIN target_labels t ON p.TargetID = t.TargetID""",
+    "growing_labels": " UNION ALL ".join(
+        f"""
+    SELECT '{side}' AS side, {side} AS id, row_number() OVER (ORDER BY first_load, first_rows DESC, {side}) - 1 AS idx, rows
+    FROM (SELECT {side}, min(load) AS first_load, arg_min(n, load) AS first_rows, CAST(sum(n) AS BIGINT) AS rows
+          FROM (SELECT {side}, ascii(right({other}, 1)) % 3 AS load, count(*) AS n FROM pairs GROUP BY ALL) l
+          GROUP BY {side}) s"""
+        for side, other in (("DrugID", "TargetID"), ("TargetID", "DrugID"))
+    ),
     "split_pairs": """
     SELECT DrugID, TargetID, round(NormalizedScore, 6) AS NormalizedScore, is_training FROM split""",
     "rmse": "SELECT round(sqrt(avg(pow(NormalizedScore - prediction, 2))), 6) AS rmse FROM baseline",

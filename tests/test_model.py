@@ -40,6 +40,16 @@ def test_unseen_ids_get_the_next_index(spark, rows):
     ]
 
 
+def test_labels_grow_without_moving(spark, rows):
+    load = lambda *ids: spark.createDataFrame([(i,) for i in ids], "DrugID STRING")
+    labels = model.label_index(load("b", "b", "a"), "DrugID", "drug_idx")
+    more = model.extend_labels(labels, load("z", "a", "c", "z", None, None), "DrugID", "drug_idx")
+    assert rows(more) == [("a", 1, 2), ("b", 0, 2), ("c", 3, 1), ("z", 2, 2)]
+    assert rows(model.extend_labels(more, load(), "DrugID", "drug_idx")) == rows(more)
+    first = model.extend_labels(labels.limit(0), load("y", "x", "y"), "DrugID", "drug_idx")
+    assert rows(first) == rows(model.label_index(load("y", "x", "y"), "DrugID", "drug_idx")) == [("x", 1, 1), ("y", 0, 2)]
+
+
 def test_split_ignores_partitioning_and_is_about_four_fifths(spark, sf_dir, rows):
     pairs = catalog.stored_pairs(spark, sf_dir)
     training, test = model.split_pairs(pairs)

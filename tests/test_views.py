@@ -245,3 +245,22 @@ def test_overview_shows_no_zero_metric(spark):
     assert tuple(r) == (1, 2, 3, None, 0.5)
     empty = profile.overview_stats(pairs, spark.range(3), latest.limit(0)).collect()[0]
     assert (empty.rmse, empty.aupr) == (None, None)
+
+
+def test_sketches_of_loads_merge(spark):
+    """Sketches stored by load give what one sketch of all rows gives; sources that share values count them once."""
+    rows = spark.range(9000).selectExpr(
+        "IF(id < 6000, 'Kd', 'Ki') AS Source", "CAST(id % 5000 AS STRING) AS DrugID", "CAST(id % 7 AS STRING) AS TargetID"
+    )
+    choices = spark.createDataFrame([(1, "Kd"), (2, "Ki"), (3, "Kd"), (3, "Ki"), (4, "Davis")], "choice LONG, Source STRING")
+    loads = [profile.source_sketches(rows.filter(f"id % 3 = {k}")) for k in range(3)]
+    merged = profile.distinct_of_choices(loads[0].unionByName(loads[1]).unionByName(loads[2]), choices)
+    found = {r.choice: r for r in merged.collect()}
+    whole = {r.choice: r for r in profile.distinct_of_choices(profile.source_sketches(rows), choices).collect()}
+    exact = {r.choice: r.DrugID for r in profile.exact_of_choices(rows, choices, "DrugID").collect()}
+    assert exact == {1: 5000, 2: 3000, 3: 5000} and set(found) == set(exact)
+    for k, n in exact.items():
+        assert found[k].DrugID == pytest.approx(n, rel=4 * profile.SKETCH_ERROR)
+        assert found[k].DrugID == pytest.approx(whole[k].DrugID, rel=0.01)
+        assert found[k].TargetID == 7
+    assert profile.distinct_of_choices(profile.source_sketches(rows.limit(0)), choices).count() == 0
