@@ -155,16 +155,29 @@ def drug_residuals(model: ALSModel, training: DataFrame, params: AlsParams) -> D
     ``r``, the factors ``u`` of a drug with ``n`` ratings solve
     ``sum(v * (v . u - r)) + reg * n * u = 0``; the residual is the largest component.
     """
-    drugs = model.userFactors.select(F.col("id").cast("double").alias("drug_idx"), F.col("features").alias("u"))
-    targets = model.itemFactors.select(F.col("id").cast("double").alias("target_idx"), F.col("features").alias("v"))
+    return _residuals(model.userFactors, "drug_idx", model.itemFactors, "target_idx", training, params)
+
+
+def target_residuals(model: ALSModel, before: ALSModel, training: DataFrame, params: AlsParams) -> DataFrame:
+    """``(target_idx, residual, rows)`` of the targets' factors, as ``drug_residuals`` does for drugs.
+
+    Targets are solved first in an iteration, from the drugs' factors of the one before: those of
+    ``before``, trained alike with one iteration less. They do not solve the last drugs' equations.
+    """
+    return _residuals(model.itemFactors, "target_idx", before.userFactors, "drug_idx", training, params)
+
+
+def _residuals(
+    solved: DataFrame, key: str, given: DataFrame, other: str, training: DataFrame, params: AlsParams
+) -> DataFrame:
+    ours = solved.select(F.col("id").cast("double").alias(key), F.col("features").alias("u"))
+    theirs = given.select(F.col("id").cast("double").alias(other), F.col("features").alias("v"))
     product = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, x: t + x)
-    rated = training.join(drugs, "drug_idx").join(targets, "target_idx").withColumn(
-        "error", product - F.col("NormalizedScore")
-    )
+    rated = training.join(ours, key).join(theirs, other).withColumn("error", product - F.col("NormalizedScore"))
     sums = [F.sum(F.col("v")[i] * F.col("error")).alias(f"s{i}") for i in range(params.rank)]
-    summed = rated.groupBy("drug_idx").agg(*sums, F.count(F.lit(1)).alias("rows"), F.min("u").alias("u"))
+    summed = rated.groupBy(key).agg(*sums, F.count(F.lit(1)).alias("rows"), F.min("u").alias("u"))
     parts = [F.abs(F.col(f"s{i}") + params.reg * F.col("rows") * F.col("u")[i]) for i in range(params.rank)]
-    return summed.select(F.col("drug_idx").cast("long").alias("drug_idx"), F.greatest(*parts).alias("residual"), "rows")
+    return summed.select(F.col(key).cast("long").alias(key), F.greatest(*parts).alias("residual"), "rows")
 
 
 def recommend_all(model: ALSModel, k: int = TOP_DRUGS) -> DataFrame:

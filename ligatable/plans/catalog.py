@@ -8,6 +8,7 @@ return full precision and real arrays.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -707,6 +708,16 @@ def train_als(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("side", "id", "factors", (F.col("wrong").isNull() & (F.col("norm") > 0)).alias("solved"))
 
 
+@query
+def train_als_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each target's factors solve their equations for the drugs of the iteration before."""
+    fitted = _fitted(spark, folder)
+    before = model.train_als(fitted.training, replace(fitted.params, iterations=fitted.params.iterations - 1))
+    found = model.target_residuals(fitted.model, before, fitted.training, fitted.params)
+    solved = (F.col("residual") <= RESIDUAL * F.col("rows")).alias("solved")
+    return found.join(fitted.target_labels.select("target_idx", "TargetID"), "target_idx").select("TargetID", "rows", solved)
+
+
 @query
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every scored pair, and whether its score is what the trained model itself computes."""

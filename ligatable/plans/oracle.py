@@ -489,6 +489,8 @@ TWINS: dict[str, str] = {
     SELECT 'drug' AS side, DrugID AS id, 20 AS factors, TRUE AS solved FROM split WHERE is_training GROUP BY DrugID
     UNION ALL
     SELECT 'target', TargetID, 20, TRUE FROM split WHERE is_training GROUP BY TargetID""",
+    "train_als_targets": """
+    SELECT TargetID, count(*) AS rows, TRUE AS solved FROM split WHERE is_training GROUP BY TargetID""",
     "score_pairs": """
     SELECT DrugID, TargetID, round(NormalizedScore, 6) AS NormalizedScore, TRUE AS is_product FROM split
     WHERE NOT is_training AND DrugID IN (SELECT DrugID FROM split WHERE is_training)

@@ -1,3 +1,6 @@
+from dataclasses import replace
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -152,3 +155,18 @@ def test_metrics_record_and_latest(spark, fitted):
     history = spark.createDataFrame([("a", 1), ("c", 3), ("b", 2)], "algorithm STRING, timestamp INT")
     assert [r.algorithm for r in evaluate.latest_metrics(history).collect()] == ["c"]
     assert evaluate.latest_metrics(history.limit(0)).count() == 0
+
+
+def test_target_residuals_show_wrong_factors(fitted):
+    """Trained factors solve their equations; shifted ones do not, nor those of another iteration's drugs."""
+    before = model.train_als(fitted.training, replace(fitted.params, iterations=fitted.params.iterations - 1))
+
+    def worst(trained, given):
+        found = model.target_residuals(trained, given, fitted.training, fitted.params).collect()
+        return max(r.residual / r.rows for r in found), len(found)
+
+    n = fitted.training.select("target_idx").distinct().count()
+    good, size = worst(fitted.model, before)
+    assert good < catalog.RESIDUAL and size == n
+    shifted = fitted.model.itemFactors.withColumn("features", F.transform("features", lambda x: x * F.lit(1.05).cast("float")))
+    assert worst(SimpleNamespace(itemFactors=shifted), before)[0] > catalog.RESIDUAL
