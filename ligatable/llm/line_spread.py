@@ -33,7 +33,9 @@ def _counted_lines(docs: DataFrame, min_words: int, short_sites: int | None) ->
     it all are, and lines of so few words and fewer than ``LONG_CHARS`` characters are short.
     """
     d1, d2 = _key("doc_id", "text")
-    exploded = docs.select("doc_id", "site", d1.alias("d1"), d2.alias("d2"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # the hashes of the text belong below the generator, which would ask for them once a line
+    keyed = docs.select("doc_id", "site", d1.alias("d1"), d2.alias("d2"), "text")
+    exploded = keyed.select("doc_id", "site", "d1", "d2", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(" \t\r"))
     h1, h2 = _key("line")
     wordy = F.col("line").rlike(rf"^(?:\S+\s+){{{min_words - 1}}}\S")
@@ -109,6 +111,21 @@ def _places_to_clear(lines: DataFrame, found: DataFrame) -> DataFrame:
     return dealt.join(cold, ["k1", "k2"], "left").filter(~is_first).groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers, in time linear in its lines.
+
+    The numbers that stay come from a set difference, which hashes and keeps the order. The
+    struct is there for its lines to be split once, not once for each line.
+    """
+    lines = _lines(text)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.transform(
+        F.array(F.struct(lines.alias("lines"), stay.alias("stay"))),
+        lambda s: F.array_join(F.transform(s["stay"], lambda i: F.get(s["lines"], i)), "\n"),
+    )
+    return F.get(left, F.lit(0))
+
+
 def without_boilerplate(
     docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 5, short_sites: int | None = None
 ) -> DataFrame:
@@ -135,10 +152,9 @@ def without_boilerplate(
     removed = _places_to_clear(_counted_lines(slim, min_words, short_sites), found)
     d1, d2 = _key("doc_id", "text")
     joined = whole.withColumn("d1", d1).withColumn("d2", d2).join(removed, ["d1", "d2"], "left")
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("gone", i))
     return joined.select(
         "row",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"),
         F.coalesce(F.array_size(_lines(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -160,6 +161,18 @@ def test_line_cases(spark):
     assert TEXT in [r.text for r in done.collect()]
 
 
+def test_many_removed_lines_of_one_text_take_linear_time(spark):
+    """The work for a text grows with its lines, not with lines times removed lines."""
+    line = "this line stands on very many different sites"
+    long = [(1, "\n".join([line, "own"] * 100_000), "en", "a", 1)]
+    rows = long + [(i, line, "en", f"s{i}", 1) for i in range(2, 8)]
+    start = time.monotonic()
+    done = {r.row.doc_id: r for r in line_spread.without_boilerplate(documents(spark, rows)).collect()}
+    assert time.monotonic() - start < 60
+    assert done[1].text == line + "\n" + "\n".join(["own"] * 100_000)
+    assert (done[1].n_lines, done[1].n_removed, done[2].text) == (200_000, 99_999, "")
+
+
 def test_native_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = line_spread.without_boilerplate(docs)._jdf.queryExecution().toString()
