@@ -8,18 +8,30 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ligatable.llm.common import LOWER, pieces, small_batches, utf8
+from ligatable.llm.common import LOWER, hash_table, pieces, small_batches, utf8, word_hashes
+from ligatable.operators.skew import salted_join
 from ligatable.session import cut_lineage
 
 #: Lower-cased word bytes stay, all others become spaces.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER)
 WORD = re.compile(rb"[^ ]+")
-#: Words of the items that one automaton holds; more items make more automata.
+#: Words of the items that one automaton holds, about; more items make more automata.
 AUTOMATON_WORDS = 100_000
+#: Bits of the filter of window keys: so many for each item word, and at most ``2^28`` (32 MB).
+BITS_A_WORD, LEAST_BITS, MOST_BITS = 128, 16, 28
+#: The filter looks at these places of a key.
+SHIFTS = (0, 12, 24, 36)
+#: Bytes of text that one task holds beside one automaton, about.
+PART_BYTES = 32 << 20
+#: Bytes of text whose words are hashed at once.
+HASHED_BYTES = 1 << 20
+#: Odd numbers of 64 bits: the base of window keys, and factors that mix them.
+BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def words(text: bytes) -> list[bytes]:
@@ -130,27 +142,189 @@ class Automaton:
                     found.add(name)
 
 
-def automata(items: DataFrame, window: int, most: int = AUTOMATON_WORDS) -> list[Automaton]:
-    """One automaton for every ``most`` words of ``items (item_id, text)``, at least one.
+def text_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
+    """A hash for each word of a text, which is worked through in chunks cut between words."""
+    data, out, at = text.translate(WORD_BYTES), [], 0
+    while at < len(data):
+        end = data.find(b" ", at + HASHED_BYTES)
+        end = len(data) if end < 0 else end
+        out.append(word_hashes(data[at:end], table)[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-    Texts come to the driver once each, with all their ids, partition by partition. A task
-    holds one automaton at a time. Null and wordless items have no windows; rows that repeat
-    an item change nothing. Items without id have windows like others, and one name, null.
+
+def window_keys(hashes: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """For each size: 64-bit keys of all runs of so many words, in order."""
+    total = np.zeros(len(hashes), np.uint64)
+    for j in range(min(max(sizes, default=0), len(hashes))):
+        total = total[: len(hashes) - j] + hashes[j:] * np.uint64(pow(BASE, j, 1 << 64))
+        if j + 1 in sizes:
+            x = total + np.uint64(j + 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+            yield x ^ (x >> np.uint64(31))
+
+
+def _segments(window: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items as runs of at most ``most`` words that share no window, with their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = hash_table()
+        for piece in pieces(batches):
+            for text, names in zip(utf8(piece.column("text")), piece.column("names").to_pylist()):
+                item, hashes = words(text), text_hashes(text, table)
+                size = min(window, len(item))
+                for at in range(0, len(item) - size + 1 if item else 0, most - window + 1):
+                    keys = next(window_keys(hashes[at : at + most], [size]))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "segment": pa.array([b" ".join(item[at : at + most])], pa.binary()),
+                            "names": pa.array([names], pa.list_(pa.string())),
+                            "n": pa.array([len(item[at : at + most])], pa.int32()),
+                            "size": pa.array([size], pa.int32()),
+                            "keys": pa.array([np.unique(keys).view(np.int64)], pa.list_(pa.int64())),
+                        }
+                    )
+
+    return run
+
+
+def item_parts(items: DataFrame, window: int, part_words: int = AUTOMATON_WORDS) -> tuple[DataFrame, int, list[int]]:
+    """``(part, segment, names, n, size, keys)`` of ``items (item_id, text)``, their words and window sizes.
+
+    Each distinct text is one item with all its ids. Items are cut into runs of at most a
+    quarter of ``part_words`` words, which overlap by a word less than a window, and dealt
+    by hash to parts of about ``part_words``. Nothing of a text comes to the driver. Null and
+    wordless items have no windows; rows that repeat an item change nothing. Items without
+    id have windows like others, and one name, null.
     """
-    parts: list[list[tuple[str | None, list[bytes]]]] = [[]]
-    held = 0
+    small_batches(items.sparkSession)
     rows = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
     # collect_set leaves nulls out, so names are wrapped
     texts = rows.filter("text is not null").groupBy("text").agg(F.collect_set(F.struct("name")).alias("names"))
-    for row in texts.toLocalIterator():
-        item = words(row.text.encode())
-        if item and held and held + len(item) > most:
-            parts.append([])
-            held = 0
-        if item:
-            parts[-1].extend((r.name, item) for r in row.names)
-            held += len(item)
-    return [Automaton(part, window) for part in parts]
+    run = _segments(window, max(2 * window, part_words // 4))
+    schema = "segment binary, names array<string>, n int, size int, keys array<long>"
+    segments = cut_lineage(texts.select("text", F.col("names.name").alias("names")).mapInArrow(run, schema))
+    total, sizes = segments.agg(F.sum("n"), F.collect_set("size")).first()
+    parts = max(1, -(-(total or 0) // part_words))
+    return segments.withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int")), total or 0, sorted(sizes)
+
+
+def key_filter(keys: DataFrame, words_in_items: int) -> np.ndarray:
+    """A Bloom filter of ``keys (key)`` as 64-bit numbers, at most ``2^MOST_BITS`` bits.
+
+    Its size follows the items up to that bound. A fuller filter lets more keys pass, which
+    the join by key then drops; it never loses one.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_WORD * words_in_items - 1).bit_length()))
+    place = F.explode(F.array(*(F.shiftrightunsigned("key", n).bitwiseAND(F.lit((1 << bits) - 1)) for n in SHIFTS)))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    filled = (
+        keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    )
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[filled.column("at").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def passing(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The distinct keys that the filter knows."""
+    last = np.uint64(64 * len(table) - 1)
+    for n in SHIFTS:
+        place = (keys >> np.uint64(n)) & last
+        keys = keys[(table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+    return np.unique(keys)
+
+
+def _meeting(known: Broadcast, sizes: list[int], keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts words and finds the window keys of each text that pass the filter.
+
+    Without ``keep`` only the texts that have such keys come back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = hash_table(), known.value
+        for piece in pieces(batches):
+            counts, near = [], []
+            for text in utf8(piece.column("text")):
+                hashes = text_hashes(text, table)
+                found = [passing(keys, bits) for keys in window_keys(hashes, sizes)]
+                counts.append(len(hashes))
+                near.append(np.concatenate(found).view(np.int64) if found else [])
+            columns = {c: piece.column(c) for c in piece.schema.names}
+            if not keep:
+                wanted = pa.array([len(n) > 0 for n in near], pa.bool_())
+                columns["text"] = pa.compute.if_else(wanted, columns["text"], pa.scalar(None, columns["text"].type))
+            columns |= {"n_words": pa.array(counts, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def _streaming(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by part and salt, items first: builds the automaton, then streams the texts through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items, names, automaton = None, [], [], None
+        for piece in pieces(batches):
+            keys, spans, found = [], [], []
+            for row, text in zip(piece.drop_columns(["text"]).to_pylist(), utf8(piece.column("text"))):
+                if at != (row["part"], row["salt"]):
+                    at, items, names, automaton = (row["part"], row["salt"]), [], [], None
+                if row["is_doc"]:
+                    automaton = automaton or Automaton(items, window)
+                    hits, which = automaton.scan(words(text))
+                    if hits:
+                        keys.append(row["id"])
+                        spans.append([x for ab in hits for x in ab])
+                        found.append(list(set().union(*(names[i] for i in which))))
+                else:
+                    items.append((len(items), text.split()))
+                    names.append(row["names"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys, piece.schema.field("id").type),
+                    pa.array(spans, pa.list_(pa.int32())),
+                    pa.array(found, pa.list_(pa.string())),
+                ],
+                ["id", "spans", "items"],
+            )
+
+    return run
+
+
+def _spans(texts: DataFrame, segments: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """``(id, spans, items)`` of the ``texts (id, text, near)`` that hold item windows, lists by part.
+
+    Texts meet parts by the keys of their windows. A part's texts are dealt to as many
+    tasks as their bytes ask for, each with the part's items; only these are repeated.
+    """
+    near = texts.select("id", F.explode("near").alias("key"))
+    counts = near.groupBy("key").agg(F.count("*").alias("rows"))
+    pairs = cut_lineage(salted_join(near, keys, "key", counts=counts).select("id", "part").distinct())
+    met = pairs.join(texts.select("id", "text"), "id")
+    salts = F.ceil(F.sum(F.octet_length("text")) / PART_BYTES + 1).cast("int").alias("salts")
+    load = cut_lineage(met.groupBy("part").agg(salts))
+    none = F.lit(None)
+    docs = met.join(load, "part").select(
+        "part",
+        F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+        F.lit(True).alias("is_doc"),
+        "id",
+        F.col("text").cast("binary").alias("text"),
+        none.cast("array<string>").alias("names"),
+    )
+    tools = segments.join(load, "part").select(
+        "part",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(False).alias("is_doc"),
+        none.cast(texts.schema["id"].dataType).alias("id"),
+        F.col("segment").alias("text"),
+        "names",
+    )
+    dealt = docs.unionByName(tools).repartition("part", "salt").sortWithinPartitions("part", "salt", "is_doc")
+    found = dealt.mapInArrow(_streaming(window), "id struct<h1: long, h2: long>, spans array<int>, items array<string>")
+    return found.groupBy("id").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
 
 
 def _in_order(names: set[str | None]) -> list[str | None]:
@@ -180,7 +354,13 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, keep: bool = False) -> DataFrame:
+def _text_id(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def scan_documents(
+    docs: DataFrame, items: DataFrame, window: int = 10, keep: bool = False, part_words: int = AUTOMATON_WORDS
+) -> DataFrame:
     """What of ``docs (doc_id, text)`` occurs in ``items (item_id, text)``.
 
     Words are runs of digits, letters and bytes from 0x80, A-Z lower-cased. A window is
@@ -188,89 +368,79 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, keep: bo
     one window. Document words stream through the automaton, which tracks the longest
     match that ends at each word; words inside an occurring window are hit.
 
+    Items are dealt to parts of about ``part_words`` words, each an automaton that a task
+    builds. A bounded filter of window keys tells which texts can hold a window; these meet
+    the parts by a join on the keys, equal texts once. Other texts pass by no automaton and
+    no shuffle. The benchmark's size changes neither that nor how often documents are read:
+    once, and with ``keep`` three times.
+
     Returns ``doc_id, n_words, n_hit, items`` (ids with occurring windows, sorted as
     strings, null for items without id), and with ``keep`` also ``cleaned`` (the text without each hit span) and
     ``row`` (all columns but the text). Rows stand alone: repeated rows, null ids and
     extra columns come back; a null text has no words. Without items nothing is hit.
-    Items beyond ``AUTOMATON_WORDS`` words make further passes over written rows.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    segments, item_words, sizes = item_parts(items, window, part_words)
+    keys = segments.select("part", F.explode("keys").alias("key")).distinct()
+    known = spark.sparkContext.broadcast(key_filter(keys.select("key").distinct(), item_words))
     rest = [c for c in docs.columns if c != "text"]
-    carried = docs.select(
+    text = F.col("text").cast("string")
+    given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.array().cast("array<int>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+        text.alias("text"),
+        _text_id(text).alias("id"),
         F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row") if keep else F.lit(None).cast("int").alias("row"),
     )
-    last = "doc_id long, n_words long, n_hit long, items array<string>"
-    schema = StructType.fromDDL(last)
-    if keep:
-        schema = StructType.fromDDL(last + ", cleaned string").add(carried.schema["row"])
-    tools = automata(items, window)
-    for automaton in tools[:-1]:
-        carried = cut_lineage(carried.mapInArrow(_marking(automaton, carried.columns), carried.schema))
-    return carried.mapInArrow(_summing(tools[-1], keep), schema)
-
-
-def _scan(automaton: Automaton, piece: pa.RecordBatch) -> Iterator[tuple[bytes, int, list[tuple[int, int]], set[str | None]]]:
-    """Text, words, hit spans and items of each row, with what earlier passes found."""
-    spans, items = piece.column("spans").to_pylist(), piece.column("items").to_pylist()
-    for text, before, names in zip(utf8(piece.column("text")), spans, items):
-        found_words = words(text)
-        hits, found = automaton.scan(found_words)
-        if before:
-            hits = _covered([*hits, *zip(before[::2], before[1::2])])
-        yield text, len(found_words), hits, found.union(names)
-
-
-def _marking(automaton: Automaton, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A pass that adds its spans and items to the rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            found = list(_scan(automaton, piece))
-            new = {
-                "spans": pa.array([[x for ab in hits for x in ab] for _, _, hits, _ in found], pa.list_(pa.int32())),
-                "items": pa.array([_in_order(names) for _, _, _, names in found], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([new.get(c, piece.column(c)) for c in columns], columns)
+    def met(rows: DataFrame) -> DataFrame:
+        schema = rows.withColumns({"n_words": F.lit(0).cast("long"), "near": F.array().cast("array<long>")}).schema
+        return rows.mapInArrow(_meeting(known, sizes, keep), schema)
 
-    return run
+    rows = met(given) if keep else cut_lineage(met(given))
+    some = F.size("near") > 0
+    texts = (met(given.select("id", "text")) if keep else rows).filter(some)
+    texts = cut_lineage(texts.groupBy("id").agg(F.min("text").alias("text"), F.first("near").alias("near")))
+    spans = cut_lineage(_spans(texts, segments, keys, window))
+    none = {"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<array<string>>")}
+    held = salted_join(rows.filter(some).drop("near"), spans, "id", "left")
+    every = held.unionByName(rows.filter(~some).drop("near").withColumns(none))
+    out = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "cleaned": F.col("text")}
+    columns = ["doc_id", "n_words", "n_hit", "items", *(["cleaned", "row"] if keep else [])]
+    schema = every.withColumns(out).select(*columns).schema
+    return every.mapInArrow(_summing(columns), schema)
 
 
-def _summing(automaton: Automaton, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The last pass: counts, and the cleaned text if wanted."""
+def _summing(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merges what the parts found, and cuts it out of the texts if they are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = list(_scan(automaton, piece))
-            columns = {
-                "doc_id": piece.column("doc_id"),
-                "n_words": pa.array([n for _, n, _, _ in found], pa.int64()),
-                "n_hit": pa.array([sum(b - a for a, b in hits) for _, _, hits, _ in found], pa.int64()),
-                "items": pa.array([_in_order(names) for _, _, _, names in found], pa.list_(pa.string())),
+            hits, names = [], []
+            for found, items in zip(piece.column("spans").to_pylist(), piece.column("items").to_pylist()):
+                hits.append(_covered([ab for x in found or () for ab in zip(x[::2], x[1::2])]))
+                names.append(_in_order(set().union(*(items or ()))))
+            new = {
+                "n_hit": pa.array([sum(b - a for a, b in x) for x in hits], pa.int64()),
+                "items": pa.array(names, pa.list_(pa.string())),
             }
-            if keep:
+            if "cleaned" in columns:
                 # a text without hits comes back as it is, null included
-                given = piece.column("text").to_pylist()
-                cleaned = [
-                    without_spans(text, hits).decode() if hits else given[i] for i, (text, _, hits, _) in enumerate(found)
-                ]
-                columns |= {"cleaned": pa.array(cleaned, pa.string()), "row": piece.column("row")}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                texts = piece.column("text").to_pylist()
+                cut = [without_spans(t.encode(), x).decode() if x else t for t, x in zip(texts, hits)]
+                new["cleaned"] = pa.array(cut, pa.string())
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else piece.column(c) for c in columns], columns)
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, part_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Per document: counts, the number of item ids that occur, and a digest of them.
 
     Items without id make hits like others; having no id, they are neither counted nor listed.
     """
     named = F.array_compact("items")
     ids = F.array_join(named, ",")
-    return scan_documents(docs, items, window).select(
+    return scan_documents(docs, items, window, part_words=part_words).select(
         "doc_id",
         "n_words",
         "n_hit",

@@ -4,6 +4,7 @@ import random
 import pytest
 from cases import ROWS, documents, words
 from compare import differences, open_tables
+from pyspark.sql import functions as F
 
 from ligatable.llm import mixing, oracles, queries, suffix_automaton, token_counts
 
@@ -189,11 +190,57 @@ def test_decontamination_cases(spark):
     assert suffix_automaton.contamination(documents(spark, []), items).count() == 0
 
 
-def test_items_of_several_automata(spark, sf_dir, monkeypatch):
+def test_items_of_several_automata(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = sorted(suffix_automaton.contamination(docs, items).collect())
-    whole = suffix_automaton.automata
-    monkeypatch.setattr(suffix_automaton, "automata", lambda i, w: whole(i, w, most=400))
-    assert len(suffix_automaton.automata(items, 10)) > 2
+    assert suffix_automaton.item_parts(items, 10, 400)[0].select("part").distinct().count() > 2
+    assert sorted(suffix_automaton.contamination(docs, items, part_words=400).collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_as_brute_force(spark, seed):
+    """Few words, so windows overlap, repeat, lie in several parts and stand in cut items."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3)]
+    window = 4
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 4, 40])))) for i in range(20)]
+    rows = [(i, " ".join(rng.choices([*vocabulary, "x", "y"], k=rng.randrange(60))), "en", "a", 1) for i in range(60)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert suffix_automaton.item_parts(table, window, 16)[0].select("part").distinct().count() > 1
+    done = suffix_automaton.scan_documents(documents(spark, rows), table, window, part_words=16)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in done.collect()}
+    split = [(str(i), t.split()) for i, t in items]
+    for i, t, *_ in rows:
+        hit, found = brute_scan(t.split(), split, window)
+        assert got[i] == (len(t.split()), len(hit), sorted(found))
+
+
+def test_full_filter_only_costs_time(spark, sf_dir, monkeypatch):
+    """A filter so small that it knows every key drops nothing and adds nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(suffix_automaton.contamination(docs, items).collect())
+    monkeypatch.setattr(suffix_automaton, "MOST_BITS", 8)
     assert sorted(suffix_automaton.contamination(docs, items).collect()) == want
+
+
+def test_words_are_hashed_alike_in_chunks(monkeypatch):
+    text = ("Some words, " * 50 + "x" * 200 + " ").encode() * 3
+    whole = suffix_automaton.text_hashes(text, suffix_automaton.hash_table())
+    monkeypatch.setattr(suffix_automaton, "HASHED_BYTES", 64)
+    assert (suffix_automaton.text_hashes(text, suffix_automaton.hash_table()) == whole).all()
+    assert len(whole) == len(suffix_automaton.words(text))
+
+
+def test_decontaminated_copies_and_clashing_names(spark):
+    """Many copies of a hit text keep their own columns, whatever these are called."""
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(i if i % 3 else None, f"see {ITEM} here " + "own words stay " * 9, f"n{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near string").withColumn("id", F.col("near"))
+    docs = docs.withColumn("spans", F.lit(1)).withColumn("items", F.lit("i"))
+    clean = suffix_automaton.decontaminated(docs, items)
+    assert clean.columns == docs.columns
+    left = clean.collect()
+    assert sorted((r.near, r.id) for r in left) == sorted((n, n) for _, _, n in rows)
+    assert {r.text for r in left} == {"see  here " + "own words stay " * 9}
