@@ -1,6 +1,12 @@
+import os
+from urllib.parse import urlparse
+
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 
 from ligatable import session
+from ligatable.plans import catalog
 from ligatable.sources import tables
 
 
@@ -35,3 +41,26 @@ def test_cluster_without_a_folder_is_refused():
     bare.conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})()
     with pytest.raises(RuntimeError, match="set spark.checkpoint.dir"):
         session.shared_dir(bare)
+
+
+@pytest.mark.parametrize("name", ["load_table", "available_sources"])
+def test_shared_mount_is_taken_on_a_cluster(spark, sf_dir, monkeypatch, name):
+    """The folder is a path, but Spark checkpoints there and the driver sees what tasks wrote."""
+    in_use = spark.sparkContext.getCheckpointDir()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_SHARED", set())
+    assert urlparse(session.shared_dir(spark)).path == os.path.dirname(urlparse(in_use).path)
+    assert getattr(catalog, name)(spark, sf_dir).count() > 0
+
+
+def test_folder_that_keeps_no_checkpoint_is_refused_on_a_cluster(spark, monkeypatch):
+    def lost(df, eager=True):
+        raise PySparkException("a different number of partitions")
+
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(session.shared_dir(spark))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_SHARED", set())
+    monkeypatch.setattr(DataFrame, "checkpoint", lost)
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lost)
+    with pytest.raises(RuntimeError, match="every executor"):
+        session.shared_dir(spark)
