@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ligatable.operators import model, skew
 from ligatable.operators.ordering import quartiles, running_totals
 from ligatable.operators.skew import key_salts, one_per, salted_join
 
@@ -128,3 +129,38 @@ def test_quartiles_read_twice(spark):
     watched = df.mapInArrow(count, df.schema)
     assert quartiles(watched, "g", "v").count() == 4
     assert seen.value == 2 * 100_000
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_salted_join_moves_each_side_once(spark):
+    """Counts of unknown size: their table of salts is broadcast, so both sides shuffle for one join only."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = skew.cut_lineage(spark.range(1000).selectExpr("id % 7 AS k", "id AS v"))
+        right = skew.cut_lineage(spark.range(7).selectExpr("id AS k", "id * 10 AS w"))
+        counts = skew.cut_lineage(left.groupBy("k").count().withColumnRenamed("count", "rows"))
+        joined = skew.salted_join(left, right, "k", counts=counts, rows_per_task=100)
+        assert shuffles(joined) == 2
+        assert joined.filter("w = k * 10").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_residual_sums_are_not_shuffled(spark):
+    """Ratings move to the given factors, then to the solved ones, where they are summed."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        factors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id int, features array<float>")
+        ratings = [(float(d), float(t), 1.0 + d * t) for d in range(4) for t in range(4)]
+        training = spark.createDataFrame(ratings, "drug_idx double, target_idx double, NormalizedScore double")
+        params = model.AlsParams(rank=2, reg=0.0)
+        solved = model._residuals(factors, "drug_idx", factors, "target_idx", training, params)
+        assert shuffles(solved) == 4
+        assert [(r.residual, r.rows) for r in solved.collect()] == [(0.0, 4)] * 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
