@@ -2,11 +2,12 @@ import os
 from urllib.parse import urlparse
 
 import pytest
+from compare import differences, open_tables
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ligatable import session
-from ligatable.plans import catalog
+from ligatable.plans import catalog, oracle
 from ligatable.sources import tables
 
 
@@ -53,6 +54,32 @@ def test_shared_mount_is_taken_on_a_cluster(spark, sf_dir, monkeypatch, name):
     assert getattr(catalog, name)(spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "bucketed_store",
+        "export_csv",
+        "incremental_pairs",
+        "prediction_for_target",
+        "predictions_of_drug",
+        "read_affinity",
+        "read_ppi",
+        "save_table",
+        "source_choices",
+        "source_quality",
+        "source_registry",
+    ],
+)
+def test_staged_queries_give_their_rows_on_a_cluster(spark, sf_dir, monkeypatch, name):
+    """Each writes a table on its way, which a cluster must not refuse where the folder is shared."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_SHARED", set())
+    # a session of the tests that ran nothing else yet
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get(session.CHECKPOINT_CONF))
+    found = getattr(catalog, name)(spark, sf_dir)
+    assert differences(found, open_tables(sf_dir), oracle.all_sql()[name]) == []
+
+
 def test_folder_that_keeps_no_checkpoint_is_refused_on_a_cluster(spark, monkeypatch):
     def lost(df, eager=True):
         raise PySparkException("a different number of partitions")
