@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ligatable.llm.common import LOWER, pieces, small_batches, utf8
 from ligatable.operators.skew import salted_join
-from ligatable.session import cut_lineage, drop_staged, staging_path
+from ligatable.session import cut_lineage, drop_staged, shuffles_go, staging_path
 
 # Bytes that end a piece; all become the mark, which no word can hold.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -30,6 +30,8 @@ BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 #: A block's number is that of the task, shifted, plus its place; a group's code is the block's, shifted, plus its place.
 BLOCK_BITS, GROUP_BITS = 12, 31
+#: How written relations are compressed.
+STAGED = "zstd"
 #: Rows of an Arrow batch of groups.
 GROUP_ROWS = 1 << 18
 
@@ -231,29 +233,32 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
 
     Each length has a written relation of sorted occurrences, in blocks of text. Its groups are
     counted; their blocks get the numbers of the frequent ones, drop the others, and join
-    neighbouring occurrences to the next relation. Nothing is broadcast.
+    neighbouring occurrences to the next relation. Nothing is broadcast. What a step shuffled goes
+    when the step is written.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     )
-    path = staging_path(spark, "occurrences")
-    texts.mapInArrow(_tokenise, DDL).write.parquet(path)
-    relation = spark.read.schema(DDL).parquet(path)
-    sizes = cut_lineage(relation.filter("places is null").groupBy("lang").agg(F.sum("n").alias("n")))
-    frequent = _frequent(relation, ["lang", "word"], min_count)
-    phrases = [cut_lineage(_words(frequent))]
-    for _ in range(max_words - 1):
-        occurrences = relation.filter("places is not null").select("block", "places", "groups")
-        left = occurrences.groupBy("block").cogroup(frequent.select("block", "idx", "id").groupBy("block"))
-        longer = staging_path(spark, "occurrences")
-        left.applyInArrow(_extend, DDL).write.parquet(longer)
+    # each step is run once and written
+    with shuffles_go(spark):
+        path = staging_path(spark, "occurrences")
+        texts.mapInArrow(_tokenise, DDL).write.parquet(path, compression=STAGED)
+        relation = spark.read.schema(DDL).parquet(path)
+        sizes = cut_lineage(relation.filter("places is null").groupBy("lang").agg(F.sum("n").alias("n")))
+        frequent = _frequent(relation, ["lang", "word"], min_count)
+        phrases = [cut_lineage(_words(frequent))]
+        for _ in range(max_words - 1):
+            occurrences = relation.filter("places is not null").select("block", "places", "groups")
+            left = occurrences.groupBy("block").cogroup(frequent.select("block", "idx", "id").groupBy("block"))
+            longer = staging_path(spark, "occurrences")
+            left.applyInArrow(_extend, DDL).write.parquet(longer, compression=STAGED)
+            drop_staged(spark, path)
+            path, relation = longer, spark.read.schema(DDL).parquet(longer)
+            frequent = _frequent(relation, ["a", "b"], min_count)
+            phrases.append(cut_lineage(_longer(frequent, phrases[-1])))
         drop_staged(spark, path)
-        path, relation = longer, spark.read.schema(DDL).parquet(longer)
-        frequent = _frequent(relation, ["a", "b"], min_count)
-        phrases.append(cut_lineage(_longer(frequent, phrases[-1])))
-    drop_staged(spark, path)
     return phrases, sizes
 
 

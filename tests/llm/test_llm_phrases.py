@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from cases import LOWER, ROWS, documents
 from compare import differences, open_tables
 
+from ligatable import session
 from ligatable.llm import oracles, phrases, queries
 
 
@@ -100,3 +102,22 @@ def test_relation_extends_within_pieces():
     at, found, a, b, n = phrases.extended(places, groups, np.array([7, 3, 1]), np.array([70, 30, 10]))
     assert at.tolist() == [0, 1, 4] and sorted(n.tolist()) == [1, 2]
     assert [(a[i], b[i]) for i in found] == [(30, 10), (10, 30), (10, 30)]
+
+
+def test_shuffle_files_go_with_each_step(spark):
+    """What a step shuffled is deleted once the step is written, and the session's setting stays as it was."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data")}
+
+    setting = spark.conf.get(session.SHUFFLES_GO_CONF)
+    docs = spark.createDataFrame([("red green blue. red green", "en")] * 200, "text string, lang string").repartition(2)
+    before = shuffled()
+    found = phrases.collocations(docs)
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(session.SHUFFLES_GO_CONF) == setting
+    assert {(r.phrase, r.a) for r in found.collect()} == {("red green", 400), ("red green blue", 200)}
