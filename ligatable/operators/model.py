@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligatable.operators.ordering import running_totals
 from ligatable.operators.skew import salted_join
-from ligatable.session import cut_lineage
+from ligatable.session import cut_lineage, name_checkpoints, shuffles_go, staging_path
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,8 @@ class AlsParams:
 
 TOP_DRUGS = 5
 TRAINING_PERCENT = 80
+#: Ratings that are moved with a vector of factors at once.
+RATINGS_A_PASS = 1 << 25
 
 
 def label_index(pairs: DataFrame, id_col: str, idx_col: str) -> DataFrame:
@@ -107,7 +111,13 @@ def drop_cold_start(test: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def train_als(training: DataFrame, params: AlsParams = AlsParams()) -> ALSModel:
-    """Matrix factorization of ``(drug_idx, target_idx, NormalizedScore)``."""
+    """Matrix factorization of ``(drug_idx, target_idx, NormalizedScore)``.
+
+    Every iteration sends the factors of a drug to each block of targets that rates it. Those shuffle files
+    only go where Spark checkpoints, so it does so in each iteration: the disk holds one, not ten. That changes
+    no factor. The model is read back from a written copy, so the blocks of ratings go as well.
+    """
+    name_checkpoints(training.sparkSession)
     ratings = training.select(
         F.col("drug_idx").cast("int").alias("drug_idx"),
         F.col("target_idx").cast("int").alias("target_idx"),
@@ -125,8 +135,23 @@ def train_als(training: DataFrame, params: AlsParams = AlsParams()) -> ALSModel:
         coldStartStrategy="drop",
         numUserBlocks=params.drug_blocks,
         numItemBlocks=params.target_blocks,
+        checkpointInterval=1,
     )
-    return als.fit(ratings)
+    return _written(als.fit(ratings), training.sparkSession)
+
+
+def _written(trained: ALSModel, spark: SparkSession) -> ALSModel:
+    """``trained`` from a written copy; what training left in shuffle files and storage goes."""
+    path = staging_path(spark, "model")
+    trained.save(path)
+    for factors in (trained.userFactors, trained.itemFactors):
+        rdd = factors._jdf.rdd()
+        # the rows stand on the table that Spark keeps of the factors, each step on one before
+        while rdd.getStorageLevel().equals(spark._jvm.org.apache.spark.storage.StorageLevel.NONE()):
+            rdd = rdd.dependencies().head().rdd()
+        rdd.unpersist(False)
+        rdd.cleanShuffleDependencies(False)
+    return ALSModel.load(path)
 
 
 def score_pairs(model: ALSModel, test: DataFrame) -> DataFrame:
@@ -169,6 +194,29 @@ def target_residuals(model: ALSModel, before: ALSModel, training: DataFrame, par
 
 def _residuals(
     solved: DataFrame, key: str, given: DataFrame, other: str, training: DataFrame, params: AlsParams
+) -> DataFrame:
+    """In passes over the solved side, each written before the next: a rating moves with a vector of factors."""
+    with shuffles_go(training.sparkSession):
+        passes = max(1, -(-training.count() // RATINGS_A_PASS))
+        # by the remainder, as indices have no gaps and stand by falling number of ratings
+        found = [
+            cut_lineage(
+                _residuals_of(
+                    solved.filter(F.pmod("id", F.lit(passes)) == i),
+                    key,
+                    given,
+                    other,
+                    training.filter(F.pmod(F.col(key).cast("long"), F.lit(passes)) == i),
+                    params,
+                )
+            )
+            for i in range(passes)
+        ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _residuals_of(
+    solved: DataFrame, key: str, given: DataFrame, other: str, training: DataFrame, params: AlsParams
 ) -> DataFrame:
     ours = solved.select(F.col("id").cast("long").alias(key), F.col("features").alias("u"))
     theirs = given.select(F.col("id").cast("long").alias(other), F.col("features").alias("v"))
@@ -255,13 +303,18 @@ class Recommender:
         return nested_recommendations(decode_ids(flat, self.drug_labels, self.target_labels))
 
 
-def fit_recommender(pairs: DataFrame, params: AlsParams = AlsParams()) -> Recommender:
+def fit_recommender(
+    pairs: DataFrame, params: AlsParams = AlsParams(), encoded: Callable[[], None] = lambda: None
+) -> Recommender:
     """Index, split and train on ``(DrugID, TargetID, NormalizedScore)``.
 
     ``pairs`` is read several times; pass a stored or checkpointed table. Label tables
-    and encoded rows are written once and then read by training, scoring and decoding.
+    and encoded rows are written once and then read by training, scoring and decoding;
+    ``encoded`` is called when they stand, from where on ``pairs`` is not read.
     """
-    drug_labels = cut_lineage(label_index(pairs, "DrugID", "drug_idx"))
-    target_labels = cut_lineage(label_index(pairs, "TargetID", "target_idx"))
-    training, test = split_pairs(cut_lineage(index_ids(pairs, drug_labels, target_labels)))
+    with shuffles_go(pairs.sparkSession):
+        drug_labels = cut_lineage(label_index(pairs, "DrugID", "drug_idx"))
+        target_labels = cut_lineage(label_index(pairs, "TargetID", "target_idx"))
+        training, test = split_pairs(cut_lineage(index_ids(pairs, drug_labels, target_labels)))
+    encoded()
     return Recommender(train_als(training, params), drug_labels, target_labels, training, test, params)

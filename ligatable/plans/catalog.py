@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ligatable.functions import labels, payloads, scores
 from ligatable.operators import compounds, disease, evaluate, integrate, model, network, ppi, profile, recommend, retrieval
-from ligatable.session import cut_lineage, staging_path
+from ligatable.session import cut_lineage, drop_staged, shuffles_go, staging_path
 from ligatable.sources import files, fixtures, tables
 from ligatable.sources.registry import source_names
 
@@ -641,7 +641,11 @@ def network_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, folder: str) -> model.Recommender:
-    return model.fit_recommender(stored_pairs(spark, folder))
+    """The trained model; what its steps shuffled, and the pairs it was made of, are gone."""
+    path = staging_path(spark, "pairs")
+    with shuffles_go(spark):
+        tables.save_table(integrate.training_pairs(pairs(spark, folder)), path, compression="zstd")
+    return model.fit_recommender(tables.load_table(spark, path), encoded=lambda: drop_staged(spark, path))
 
 
 def _encoded_recommendations(rows: DataFrame, by_drug: DataFrame, by_target: DataFrame) -> DataFrame:
