@@ -726,8 +726,11 @@ def train_als_targets(spark: SparkSession, folder: str) -> DataFrame:
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every scored pair, and whether its score is what the trained model itself computes."""
     fitted = _fitted(spark, folder)
-    ours = fitted.predictions().select("DrugID", "TargetID", "NormalizedScore", "prediction")
-    theirs = fitted.model.transform(fitted.test).select("DrugID", "TargetID", F.col("prediction").alias("expected"))
+    # one after the other, as each of them moves every row with its factors
+    with shuffles_go(spark):
+        ours = cut_lineage(fitted.predictions().select("DrugID", "TargetID", "NormalizedScore", "prediction"))
+        expected = F.col("prediction").alias("expected")
+        theirs = cut_lineage(fitted.model.transform(fitted.test).select("DrugID", "TargetID", expected))
     same = F.abs(F.col("prediction") - F.col("expected")) < 1e-4
     return rounded(
         ours.join(theirs, ["DrugID", "TargetID"], "left").select(
